@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.llm import op1_secret_scan, op4_media, op6_exact_dedup
+from heronry.llm import op1_secret_scan, op3_bpe, op4_media, op6_exact_dedup, op7_token_files
 from heronry.llm.common import table
 
 
@@ -21,6 +21,15 @@ def op1_secret_scan_documents(spark, sf_dir):
     )
 
 
+def op3_bpe_documents(spark, sf_dir):
+    e = op3_bpe.bpe_encode(table(spark, sf_dir, "documents"))
+    return e.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_token_files_documents(spark, sf_dir):
+    return op7_token_files.token_files(table(spark, sf_dir, "documents"))
+
+
 def op4_media_documents(spark, sf_dir):
     m = op4_media.media_columns(table(spark, sf_dir, "documents"))
     return m.select(
@@ -38,8 +47,10 @@ def queries() -> dict:
     """Name to query."""
     return {
         "op1_secret_scan": op1_secret_scan_documents,
+        "op3_byte_bpe": op3_bpe_documents,
         "op4_media_columns": op4_media_documents,
         "op6_exact_dedup": op6_exact_dedup_documents,
+        "op7_token_files": op7_token_files_documents,
     }
 
 
