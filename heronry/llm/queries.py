@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.llm import op1_secret_scan, op3_bpe, op4_media, op6_exact_dedup, op7_token_files
+from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op6_exact_dedup, op7_token_files, op10_mix
 from heronry.llm.common import table
 
 
@@ -21,6 +21,18 @@ def op1_secret_scan_documents(spark, sf_dir):
     )
 
 
+def op2_language_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    held = op2_language.held_out("doc_id", 4, 2)
+    models = op2_language.fit(d.filter(~held))
+    found = op2_language.identify(d, models)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits", "accepted")
+
+
+def op10_mix_documents(spark, sf_dir):
+    return op10_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_documents(spark, sf_dir):
     e = op3_bpe.bpe_encode(table(spark, sf_dir, "documents"))
     return e.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -47,13 +59,15 @@ def queries() -> dict:
     """Name to query."""
     return {
         "op1_secret_scan": op1_secret_scan_documents,
+        "op2_language_id": op2_language_documents,
         "op3_byte_bpe": op3_bpe_documents,
         "op4_media_columns": op4_media_documents,
         "op6_exact_dedup": op6_exact_dedup_documents,
         "op7_token_files": op7_token_files_documents,
+        "op10_mix_sources": op10_mix_documents,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the operator."""
-    return {"op6_exact_dedup": op6_exact_dedup.ORACLE}
+    return {"op6_exact_dedup": op6_exact_dedup.ORACLE, "op10_mix_sources": op10_mix.ORACLE}
