@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op6_exact_dedup, op7_token_files, op10_mix
+from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op6_exact_dedup, op7_token_files, op8_near_dedup, op10_mix
 from heronry.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op2_language_documents(spark, sf_dir):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits", "accepted")
 
 
+def op8_near_dedup_documents(spark, sf_dir):
+    return op8_near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_documents(spark, sf_dir):
     return op10_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op4_media_columns": op4_media_documents,
         "op6_exact_dedup": op6_exact_dedup_documents,
         "op7_token_files": op7_token_files_documents,
+        "op8_near_dedup": op8_near_dedup_documents,
         "op10_mix_sources": op10_mix_documents,
     }
 
