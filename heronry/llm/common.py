@@ -11,20 +11,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from heronry.session import materialise, new_folder, shared_dir, table  # noqa: F401
 
-#: Texts handled together inside one Arrow batch, in characters; bounds memory.
-SLICE_CHARS = 4_000_000
+#: Texts handled together inside one Arrow batch, in characters and rows; bounds memory.
+SLICE_CHARS, SLICE_ROWS = 1_000_000, 512
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS):
-    """Yield (start, end) runs of rows of about ``limit`` characters, whole texts only."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def sliced(batch: pa.RecordBatch, at: int = 0, text_at: int = 1):
+    """Yield (ids, texts) of a batch in slices of about SLICE_CHARS, whole texts only; null is empty."""
+    for first in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(first, SLICE_ROWS)
+        texts = ["" if t is None else t for t in part.column(text_at).to_pylist()]
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= SLICE_CHARS or i == len(texts) - 1:
+                yield part.column(at).slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
 
 
 def map_texts(docs: DataFrame, work, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,10 +38,8 @@ def map_texts(docs: DataFrame, work, schema: T.StructType, id_col: str = "doc_id
 
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                got = work(ids.slice(i, j - i), texts[i:j])
+            for ids, texts in sliced(b):
+                got = work(ids, texts)
                 cols = [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
@@ -48,6 +47,18 @@ def map_texts(docs: DataFrame, work, schema: T.StructType, id_col: str = "doc_id
     return two.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` for which ``keep(texts)`` is true, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            mask = [m for _, texts in sliced(b, at, at) for m in keep(texts)]
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def id_field(docs: DataFrame, id_col: str = "doc_id") -> T.StructField:
     """The id's field, as the result carries it."""
     return T.StructField(id_col, docs.schema[id_col].dataType, True)

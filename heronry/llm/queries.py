@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op6_exact_dedup, op7_token_files, op8_near_dedup, op10_mix
+from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op5_lm_score, op6_exact_dedup, op7_token_files, op8_near_dedup, op9_license, op10_mix
 from heronry.llm.common import table
 
 
@@ -33,6 +33,21 @@ def op8_near_dedup_documents(spark, sf_dir):
     return op8_near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = op5_lm_score.lm_score(d, op5_lm_score.in_training("doc_id"))
+    held = op2_language.held_out("doc_id", 7, 2)
+    return s.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op9_license_documents(spark, sf_dir):
+    """Documents as files: a folder for each source, in it one for each 1000 ids."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    s = op9_license.license_scan(d.withColumn("path", path))
+    return s.select("doc_id", "path", F.array_join("own", "+").alias("own"), "cosine", F.size("found").cast("long").alias("n_lines"), F.array_join("inherited", "+").alias("inherited"), F.array_join("licenses", "+").alias("licenses"))
+
+
 def op10_mix_documents(spark, sf_dir):
     return op10_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -66,9 +81,11 @@ def queries() -> dict:
         "op2_language_id": op2_language_documents,
         "op3_byte_bpe": op3_bpe_documents,
         "op4_media_columns": op4_media_documents,
+        "op5_lm_score": op5_lm_score_documents,
         "op6_exact_dedup": op6_exact_dedup_documents,
         "op7_token_files": op7_token_files_documents,
         "op8_near_dedup": op8_near_dedup_documents,
+        "op9_license_scan": op9_license_documents,
         "op10_mix_sources": op10_mix_documents,
     }
 
