@@ -11,13 +11,21 @@ from __future__ import annotations
 
 import re
 
-_TOUCHING = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+#: White space besides the space and the line break.
+RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Longest chunk kept in the cache, in characters.
 LONGEST = 48
 
 
+def touching(text: str) -> bool:
+    """Whether white space may touch other white space."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return any(c in text for c in RARE)
+
+
 class Cache(dict):
     """A mapping that computes missing values, in two generations of ``cap`` keys.
 
@@ -52,34 +60,43 @@ class Chunked:
     texts at once: chunks of one space and a word without white space.
     """
 
-    def __init__(self, encode, encode_many=None, cap: int = 300_000):
+    def __init__(self, encode, encode_many=None, cap: int = 260_000):
         self.plain = Cache(encode, cap // 4)
         self.spaced = Cache(lambda word: encode(" " + word), cap)
         self.line, self.encode_many = encode("\n"), encode_many
 
-    def prepare(self, texts: list[str]) -> None:
-        """Encode what the cache lacks of these texts' words together."""
+    def __call__(self, text: str) -> bytes:
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """Each text's encoding."""
+        lines = [None if touching(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        if self.encode_many:
+            self._prepare(lines)
+        plain, spaced = self.plain, self.spaced.__getitem__
+        done = []
+        for text, parts in zip(texts, lines):
+            if parts is None:
+                done.append(b"".join([plain[c] for c in _BEFORE_WORD.split(text)]))
+                continue
+            out = []
+            for words in parts:
+                out.append(plain[words[0]])
+                out.extend(map(spaced, words[1:]))
+                out.append(self.line)
+            out.pop()
+            done.append(b"".join(out))
+        return done
+
+    def _prepare(self, lines) -> None:
+        """Encode the words that the cache lacks together."""
         words: set[str] = set()
-        for text in texts:
-            if not _TOUCHING.search(text):
-                for line in text.split("\n"):
-                    words.update(line.split(" ")[1:])
+        for parts in lines:
+            for x in parts or ():
+                words.update(x[1:])
         spaced = self.spaced
         new = [w for w in words if w not in spaced and w not in spaced.old and w and len(w) <= LONGEST and not _SPACE.search(w)]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for word, got in zip(part, self.encode_many([" " + w for w in part])):
                 spaced.put(word, got)
-
-    def __call__(self, text: str) -> bytes:
-        plain = self.plain
-        if _TOUCHING.search(text):
-            return b"".join([plain[c] for c in _BEFORE_WORD.split(text)])
-        out, spaced = [], self.spaced.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(plain[words[0]])
-            out.extend(map(spaced, words[1:]))
-            out.append(self.line)
-        out.pop()
-        return b"".join(out)

@@ -182,7 +182,7 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id",
 
     def work(ids, texts):
         bpe, chunked = encoder(path)
-        packed = [chunked(t) for t in texts]
+        packed = chunked.all(texts)
         return {id_col: ids, "ids": packed, "decoded": [bpe.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]}
 
     return map_texts(docs, work, schema, id_col, text_col)

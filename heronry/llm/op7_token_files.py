@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm.chunks import Chunked
-from heronry.llm.common import materialise, new_folder, slices
+from heronry.llm.common import materialise, new_folder, sliced
 
 MAGIC = b"HRNIDS01"
 TOKENIZER, END = public_tokenizers.path("byte_bpe_50k.json"), 2
@@ -161,11 +161,9 @@ def write_files(docs: DataFrame, to: str, path: str = TOKENIZER, end: int | None
 
         def each():
             for b in batches:
-                names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for i, j in slices(texts):
-                    chunked.prepare(texts[i:j])
-                    for name, text in zip(names[i:j], texts[i:j]):
-                        yield name, np.concatenate((np.frombuffer(chunked(text), dtype="<u4"), tail))
+                for names, texts in sliced(b):
+                    for name, got in zip(names.to_pylist(), chunked.all(texts)):
+                        yield name, np.concatenate((np.frombuffer(got, dtype="<u4"), tail))
 
         rows = each()
         first = next(rows, None)

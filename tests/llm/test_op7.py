@@ -34,8 +34,7 @@ def test_file_round_trip(docs, block):
 @given(st.lists(st.lists(st.sampled_from(["the", " ", "  ", "\n", "\t", "\xa0", "é", "'s", "12", "!!", "\x1c", "\x85", "日本", "\U0001f600", "<|endoftext|>"]), max_size=20).map("".join), max_size=4))
 def test_chunks_equal_library(texts):
     chunked, _ = op.encoder(op.TOKENIZER)
-    chunked.prepare(texts)
-    assert [np.frombuffer(chunked(t), "<u4").tolist() for t in texts] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in chunked.all(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_rows(spark):
