@@ -8,8 +8,9 @@ every text until it finds one that isn't empty). ``BANDS`` groups of values are
 the buckets: at a similarity of 0.85 eight values agree with probability 0.27, so a
 pair misses all 48 buckets with probability 3e-7.
 
-Candidates are stars: each bucket's smallest id with each other member. All
-are confirmed on full sets. Members of one bucket that stay in different components
+Candidates are stars: each other member of a bucket with the one that meets most
+others over all buckets, the smallest id if equal; of many variants of a text that is
+most likely the text itself. All are confirmed on full sets. Members of one bucket that stay in different components
 after that may still be linked to each other, so further rounds give such buckets
 more centres (16, 256, ...), those of the smallest components first, and try only
 pairs of different components not tried before, until every pair of a bucket is tried or
@@ -153,8 +154,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialise(classes, "near-classes")
     rows = classes.filter("id IS NOT NULL").select("id", "n", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"), F.min(F.struct("id", "n"))["n"].alias("head_n")).filter("m > 1").drop("m")
-    members = materialise(rows.join(materialise(heads, "near-heads"), "bucket"), "near-members")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = materialise(rows.join(materialise(shared, "near-shared"), "bucket"), "near-met")
+    meets = met.groupBy("id").agg(F.sum("m").alias("meets"))
+    met = materialise(met.join(materialise(meets, "near-meets"), "id").drop("m"), "near-met")
+    first = F.min(F.struct((-F.col("meets")).alias("less"), "id", "n"))
+    heads = met.groupBy("bucket").agg(first.alias("h")).select("bucket", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"))
+    members = materialise(met.join(materialise(heads, "near-heads"), "bucket").drop("meets"), "near-members")
 
     close = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes alone rule out others
     pairs = members.filter((F.col("id") != F.col("head")) & close(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
