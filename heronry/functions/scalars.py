@@ -49,7 +49,7 @@ def in_scope(path: Column, scopes: list[str]) -> Column:
 
 def normalise_scopes(c: Column) -> Column:
     """Trimmed, without empty ones, distinct, in order."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def file_class(path: Column) -> Column:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: Modules that register queries in ``QUERIES`` and ``ORACLES``.
-MODULES = ("heronry.plans.text_queries",)
+#: Modules whose ``query`` holds queries and oracles.
+MODULES = ("heronry.plans.text_queries", "heronry.plans.file_queries", "heronry.plans.graph_queries", "heronry.plans.usage_queries")
 
 
 def queries() -> dict:
     """Name to ``f(spark, sf_dir) -> DataFrame``."""
-    return {k: f for m in MODULES for k, f in import_module(m).QUERIES.items()}
+    return {k: f for m in MODULES for k, f in import_module(m).query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL over the same tables."""
-    return {k: s for m in MODULES for k, s in import_module(m).ORACLES.items()}
+    return {k: s for m in MODULES for k, s in import_module(m).query.oracles.items()}

@@ -1,34 +1,132 @@
-"""Queries over line and chunk text."""
+"""Queries over lines, chunks, terms and vectors; ids of the inventory in the names' comments."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from heronry.functions import scalars as S
+from heronry.operators import search, text
+from heronry.plans.base import Registry
 from heronry.session import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+query = Registry()
+LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+TERMS = "t AS (SELECT doc_id, len(x) AS dl, unnest(x) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS x FROM documents))"
+BM25 = f"""b AS (WITH {TERMS}, n AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS avgdl FROM documents),
+ tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM t WHERE term IN ('licensed', 'apache', 'version') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term), n GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)"""
+QUERY_TERMS = ["licensed", "apache", "version"]
+KNN = """k AS (WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
+ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10)"""
 
 
-def query(name: str, oracle: str | None = None):
-    """Register a query and its oracle under one name."""
+@query("grep_lines", f"WITH {LINES} SELECT doc_id, line::INT AS line, txt FROM l WHERE contains(lower(txt), 'licensed') ORDER BY doc_id, line LIMIT 50")
+def grep_lines(spark, sf_dir):  # X01, T01
+    hits = text.grep(table(spark, sf_dir, "documents"), "licensed")
+    return hits.select("doc_id", "line", "txt").orderBy("doc_id", "line").limit(50)
 
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
 
-    return add
+@query("grep_window", f"""WITH {LINES}, h AS (SELECT doc_id, line FROM l WHERE contains(lower(txt), 'licensed'))
+SELECT h.doc_id, h.line::INT AS line, string_agg(l.txt, chr(10) ORDER BY l.line) AS near FROM h JOIN l ON l.doc_id = h.doc_id AND l.line BETWEEN h.line - 2 AND h.line + 2 GROUP BY ALL""")
+def grep_window(spark, sf_dir):  # X01, X12
+    return text.grep(table(spark, sf_dir, "documents"), "LICENSED").select("doc_id", "line", "near")
 
 
-@query(
-    "grep_lines",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
-    SELECT doc_id, line::INT AS line, txt FROM l WHERE contains(lower(txt), 'licensed') ORDER BY doc_id, line LIMIT 50""",
-)
-def grep_lines(spark, sf_dir):
+@query("chunk_40_lines", f"""WITH {LINES}, c AS (SELECT doc_id, ((line - 1) // 40) * 40 + 1 AS line, string_agg(txt, chr(10) ORDER BY line) AS body FROM l GROUP BY doc_id, (line - 1) // 40)
+SELECT doc_id, line::INT AS line, md5(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) AS hash FROM c WHERE regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> ''""")
+def chunk_40_lines(spark, sf_dir):  # X14
+    return text.chunks(table(spark, sf_dir, "documents")).select("doc_id", "line", F.md5("body").alias("hash"))
+
+
+@query("outline", f"""WITH {LINES} SELECT doc_id, line::INT AS line, len(regexp_extract(txt, '^(#+)', 1))::INT AS level, regexp_extract(txt, '^#{{1,3}}\\s+(.+)', 1)[1:300] AS title FROM l WHERE regexp_matches(txt, '^#{{1,3}}\\s+.+')""")
+def outline(spark, sf_dir):  # X11
+    return text.outline(table(spark, sf_dir, "documents"))
+
+
+@query("bm25", f"WITH {BM25} SELECT * FROM b")
+def bm25(spark, sf_dir):  # T02, X21
+    return text.bm25(table(spark, sf_dir, "documents"), QUERY_TERMS)
+
+
+@query("knn", f"WITH {KNN} SELECT * FROM k")
+def knn(spark, sf_dir):  # T03
+    e = table(spark, sf_dir, "embeddings")
+    return search.knn(e, e.filter("vec_id = 0").first()["embedding"])
+
+
+@query("hybrid_rrf", f"""WITH {BM25}, {KNN}, h AS (SELECT doc_id AS key, 'keyword' AS engine, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM b
+UNION ALL SELECT vec_id, 'vector', 1.0 / (60 + row_number() OVER (ORDER BY score DESC, vec_id)) FROM k)
+SELECT key, round(sum(part), 6) AS score, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines FROM h GROUP BY key ORDER BY score DESC, key LIMIT 10""")
+def hybrid_rrf(spark, sf_dir):  # X05, X07, W05, U01, U04
+    b = text.bm25(table(spark, sf_dir, "documents"), QUERY_TERMS).withColumnRenamed("doc_id", "key")
+    return search.rrf({"keyword": b, "vector": knn(spark, sf_dir).withColumnRenamed("vec_id", "key")})
+
+
+@query("quantise_int8", """SELECT vec_id, list_transform(embedding, lambda x: (sign(x::DOUBLE) * floor(abs(x::DOUBLE) * (127.0::DOUBLE / top) + 0.5))::INT) AS q FROM (SELECT *, greatest(list_max(embedding)::DOUBLE, -list_min(embedding)::DOUBLE) AS top FROM embeddings)""")
+def quantise_int8(spark, sf_dir):  # V04
+    return table(spark, sf_dir, "embeddings").select("vec_id", S.quantise(F.col("embedding")).alias("q"))
+
+
+@query("vector_validity", "SELECT vec_id, len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AS ok FROM embeddings")
+def vector_validity(spark, sf_dir):  # V03
+    return table(spark, sf_dir, "embeddings").select("vec_id", S.valid_vector(F.col("embedding"), 64).alias("ok"))
+
+
+@query("mean_pool", "WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL) SELECT label, i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM m")
+def mean_pool(spark, sf_dir):  # V02
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    m = e.groupBy("label", (F.col("pos") + 1).alias("i")).agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return m.select("label", "i", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label"))), 5).alias("x"))
+
+
+@query("mention_join", """WITH d AS (SELECT name, min(cid) AS cid FROM (SELECT unnest(string_split(p_name, ' ')) AS name, p_partkey AS cid FROM part UNION ALL SELECT t, -1 FROM (VALUES ('Licensed'), ('License')) v(t)) GROUP BY name HAVING count(*) = 1),
+w AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS name FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_#@$-]+') AS x FROM documents)),
+f AS (SELECT doc_id, name, min(pos) AS pos FROM w WHERE len(name) >= 4 GROUP BY ALL)
+SELECT doc_id, name, cid, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS nth, greatest(count(*) OVER (PARTITION BY doc_id) - 200, 0) AS overflow FROM f JOIN d USING (name)""")
+def mention_join(spark, sf_dir):  # J09, J24
+    p = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("name"), F.col("p_partkey").alias("cid"))
+    own = spark.createDataFrame([("Licensed", -1), ("License", -1)], "name string, cid long")
+    return text.mentions(table(spark, sf_dir, "documents"), p.union(own))
+
+
+@query("locate_with_heading", f"""WITH {LINES}, m AS (SELECT doc_id, line, txt, last_value(CASE WHEN regexp_matches(txt, '^[A-Z]') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS heading FROM l)
+SELECT doc_id, line::INT AS line, heading::INT AS heading FROM m WHERE contains(txt, 'icense')""")
+def locate_with_heading(spark, sf_dir):  # J10: as-of join to the last heading
+    w = Window.partitionBy("doc_id").orderBy("line")
+    m = text.lines(table(spark, sf_dir, "documents"), "doc_id").withColumn("heading", F.last(F.when(F.col("txt").rlike("^[A-Z]"), F.col("line")), ignorenulls=True).over(w))
+    return m.filter(F.contains("txt", F.lit("icense"))).select("doc_id", "line", "heading")
+
+
+@query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def html_links(spark, sf_dir):  # P10
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+@query("conversation_search", """SELECT conv_id, max(turn) AS turn, max_by(text[greatest(1, strpos(lower(text), 'the') - 60) : strpos(lower(text), 'the') + 62], turn) AS snippet FROM conversations WHERE text ILIKE '%the%' GROUP BY conv_id""")
+def conversation_search(spark, sf_dir):  # X09, W07
+    c = table(spark, sf_dir, "conversations").filter(F.ilike("text", F.lit("%the%")))
+    at = F.locate("the", F.lower("text"))
+    first = F.greatest(F.lit(1), at - 60)
+    return c.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by(F.substr("text", first, at + 62 - first + 1), "turn").alias("snippet"))
+
+
+@query("exact_identifiers", "SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(text, 'AKIA[A-Z0-9]+|[0-9a-f]{16,}'), (SELECT list(x) FROM (SELECT unnest(regexp_extract_all(text, 'AKIA[A-Z0-9]+')) AS x FROM documents ORDER BY x LIMIT 20)))")
+def exact_identifiers(spark, sf_dir):  # F16
     d = table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "txt"))
-    hits = lines.filter(F.contains(F.lower("txt"), F.lit("licensed")))
-    return hits.select("doc_id", (F.col("pos") + 1).cast("int").alias("line"), "txt").orderBy("doc_id", "line").limit(50)
+    wanted = d.select(F.explode(F.regexp_extract_all("text", F.lit("(AKIA[A-Z0-9]+)"), 1)).alias("x")).orderBy("x").limit(20)
+    ids = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(AKIA[A-Z0-9]+|[0-9a-f]{16,})"), 1)).alias("x"))
+    return ids.join(wanted, "x", "left_semi").select("doc_id").distinct()
+
+
+@query("redact", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, 'AKIA[A-Z0-9]{12,}', '[redacted]', 'g'), '(?i)(password|passwd|secret|token)( *[:=] *)[^\\s]+', '\\1\\2[redacted]', 'g')) AS hash FROM documents")
+def redact(spark, sf_dir):  # F17, C13
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.redact(F.col("text"))).alias("hash"))
+
+
+@query("content_sniff", """WITH d AS (SELECT doc_id, text, greatest(len(text), 1) AS n, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id, CASE WHEN len(text) = 0 THEN 'document' WHEN contains(text, 'PRIVATE KEY-----') THEN 'binary' WHEN starts_with(text, '#!') THEN 'code'
+WHEN len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[A-Za-z0-9_.-]+\\s*[:=]\\s*\\S+\\s*$'))) / greatest(len(ls), 1) > 0.5 THEN 'code'
+WHEN len(regexp_extract_all(text, '[{}();<>\\[\\]]')) / n > 0.02 THEN 'code' WHEN len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(#|//|--|\\*)'))) / greatest(len(ls), 1) > 0.3 THEN 'code' ELSE 'document' END AS kind FROM d""")
+def content_sniff(spark, sf_dir):  # S06
+    return table(spark, sf_dir, "documents").select("doc_id", S.sniff(F.col("text")).alias("kind"))
