@@ -73,5 +73,5 @@ def cycles(edges: DataFrame, depth: int = 20) -> DataFrame:
 
 def merge_edges(edges: DataFrame, most: int = 20) -> DataFrame:
     """One edge per (src, type, dst): best-ranked evidence first, sources distinct, sorted, capped with the overflow's size."""
-    g = edges.groupBy("src", "type", "dst").agg(F.min_by("via", F.struct("rank", "line")).alias("via"), F.array_sort(F.collect_set("line")).alias("all"))
+    g = edges.groupBy("src", "type", "dst").agg(F.min_by("via", F.struct("rank", "line", "via")).alias("via"), F.array_sort(F.collect_set("line")).alias("all"))
     return g.select("src", "type", "dst", "via", F.slice("all", 1, most).alias("lines"), F.greatest(F.size("all") - most, F.lit(0)).alias("overflow"))
