@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 
-_SPACE = re.compile(r"\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 #: White space besides the space and the line break.
 RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -52,6 +51,13 @@ class Cache(dict):
             self.clear()
         self[key] = value
 
+    def put_all(self, pairs) -> None:
+        """Keep a bounded number of values; they may exceed ``cap`` by as many."""
+        if len(self) >= self.cap:
+            self.old = dict(self)
+            self.clear()
+        self.update(pairs)
+
 
 class Chunked:
     """Encodes texts by ``encode(chunk) -> bytes`` of chunks; bytes of a text are joined.
@@ -95,8 +101,9 @@ class Chunked:
             for x in parts or ():
                 words.update(x[1:])
         spaced = self.spaced
-        new = [w for w in words if w not in spaced and w not in spaced.old and w and len(w) <= LONGEST and not _SPACE.search(w)]
+        words.discard("")
+        old = spaced.old
+        new = [w for w in words if w not in spaced and w not in old and len(w) <= LONGEST]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for word, got in zip(part, self.encode_many([" " + w for w in part])):
-                spaced.put(word, got)
+            spaced.put_all(zip(part, self.encode_many([" " + w for w in part])))

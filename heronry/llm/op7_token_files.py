@@ -45,6 +45,8 @@ BLOCK, ROWS = 65_536, 16_384
 #: Documents read back together.
 STEP = 1024
 NULL_ID = -(1 << 63)
+#: Fixed value: how byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 
 def width(vocabulary: int) -> int:
@@ -135,15 +137,15 @@ def encoder(path: str):
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
         one = lambda chunk: np.array(t.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        begins = np.zeros(t.get_vocab_size(), dtype=bool)
+        begins[[i for token, i in t.get_vocab().items() if token.startswith(SPACE)]] = True
 
         def many(chunks: list[str]) -> list[bytes]:
-            """The library splits the joined chunks where they meet; its offsets tell the tokens' chunks."""
-            got = t.encode("".join(chunks), add_special_tokens=False)
-            start = np.cumsum([0] + [len(c) for c in chunks[:-1]])
-            ids = np.array(got.ids, dtype="<u4")
-            last = np.array(got.offsets, dtype=np.int64)[:, 1] - 1
-            cut = np.searchsorted(last, start).tolist() + [len(ids)]
-            return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+            """The library splits the joined chunks where they meet: before each token that begins with a space."""
+            ids = np.array(t.encode("".join(chunks), add_special_tokens=False).ids, dtype="<u4")
+            cut = [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
+            every = ids.tobytes()
+            return [every[a:b] for a, b in zip(cut, cut[1:])]
 
         _ready[path] = Chunked(one, many), t.get_vocab_size()
     return _ready[path]
