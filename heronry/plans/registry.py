@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules whose ``query`` holds queries and oracles.
-MODULES = ("heronry.plans.text_queries", "heronry.plans.file_queries", "heronry.plans.graph_queries", "heronry.plans.usage_queries", "heronry.plans.audit_queries", "heronry.plans.parser_queries", "heronry.plans.code_queries")
+MODULES = ("heronry.plans.text_queries", "heronry.plans.file_queries", "heronry.plans.graph_queries", "heronry.plans.usage_queries", "heronry.plans.audit_queries", "heronry.plans.parser_queries", "heronry.plans.code_queries", "heronry.plans.resolve_queries")
 
 
 def queries() -> dict:
