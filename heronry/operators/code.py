@@ -152,16 +152,24 @@ def data_flow(docs: DataFrame) -> DataFrame:
     return both.filter("src <> '' AND dst <> ''").distinct()
 
 
+#: Rows handed over together.
+ROWS = 10_000
+
+
 def by_document(docs: DataFrame, parse, fields: str) -> DataFrame:
     """Rows that ``parse(text)`` yields, behind their doc_id; one document at a time."""
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(fields).fields])
 
     def run(frames):
         for f in frames:
+            rows = []
             for i, t in zip(f["doc_id"], f["text"]):
-                rows = [(i, *r) for r in parse(t)]
-                if rows:
+                rows += [(i, *r) for r in parse(t)]
+                if len(rows) >= ROWS:
                     yield pd.DataFrame(rows, columns=schema.names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=schema.names)
 
     return docs.select("doc_id", "text").filter("text IS NOT NULL").mapInPandas(run, schema)
 
