@@ -7,15 +7,17 @@ where level is the largest of the levels that result if the k sources with the
 smallest size per weight are the ones that stop.
 
 Each source's documents are shuffled (by a hash of their ids) and laid one after
-the other; that stream is cut into blocks of equally many words. A schedule of
-slots, each worth one block, maps the multiples of the golden ratio, as fractions
-of 2**32, through the cumulative targets, so that any stretch of the schedule has
-each source in its share. A slot's rank among its source's slots is the block it
+the other; that stream is cut into blocks of equally many words, as many for all sources
+but small ones, whose blocks are smaller. A schedule of
+slots, each worth one block of its source, maps the multiples of the golden ratio, as fractions
+of 2**32, through the cumulative targets (in blocks), so that any stretch of the schedule has
+each source in its share of words. A slot's rank among its source's slots is the block it
 takes, from the first again after the last, twice at most. Words taken of a
 document are those of its parts in taken blocks, counted as often as taken.
 
-There are about ``SLOTS`` blocks whatever the input's size, so a target is met
-within a few hundred-thousandths of all words. Running sums over a source go by
+A block is at most 1/``SLOTS`` of all words, and at most 1/``BLOCKS`` of its source's size and
+of its target, or one word; so a target is met within a few thousandths of itself or a
+few words, however large the other sources are. Running sums over a source go by
 buckets of the hash, ranks over the schedule by stretches of it: no window holds
 a whole source.
 
@@ -34,6 +36,8 @@ from heronry.llm.common import materialise
 #: Weights of sources in turn, and their share of all words.
 WEIGHTS, SHARE = (3, 1, 2), 1.5
 SLOTS, STRETCH = 131_072, 1024
+#: Least number of blocks in a source and in its target, if they have so many words.
+BLOCKS = 4096
 #: 2**32 / golden ratio, odd.
 GOLDEN = 2_654_435_769
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -58,13 +62,16 @@ def targets(rows: DataFrame) -> DataFrame:
     left = F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     per = per.withColumn("level", (SHARE * F.col("total") - stopped) / left)
     per = per.withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("weight")))
-    per = per.withColumn("upto", F.sum(F.floor("target")).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    per = per.withColumn("widest", F.greatest(F.lit(1), F.floor(F.col("total") / SLOTS)).cast("long"))
+    own = F.floor(F.least(F.col("source_size").cast("double"), F.col("target")) / BLOCKS)
+    per = per.withColumn("block", F.greatest(F.lit(1), F.least("widest", own)).cast("long"))
+    per = per.withColumn("part", F.floor(F.floor("target") * F.col("widest") / F.col("block")))  # the target, if its blocks were the widest
+    per = per.withColumn("upto", F.sum("part").over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     per = per.withColumn("whole", F.max("upto").over(everything))
     edge = lambda c: F.floor(c / F.greatest(F.col("whole"), F.lit(1)) * float(1 << 32)).cast("long")
-    per = per.withColumn("lo", edge(F.col("upto") - F.floor("target"))).withColumn("hi", edge(F.col("upto")))
-    per = per.withColumn("block", F.greatest(F.lit(1), F.floor(F.col("total") / SLOTS)).cast("long"))
+    per = per.withColumn("lo", edge(F.col("upto") - F.col("part"))).withColumn("hi", edge(F.col("upto")))
     per = per.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    return per.withColumn("slots", F.floor(F.col("whole") / F.col("block")).cast("long")).select("src", "idx", "source_size", "target", "blocks", "lo", "hi", "block", "slots")
+    return per.withColumn("slots", F.floor(F.col("whole") / F.col("widest")).cast("long")).select("src", "idx", "source_size", "target", "blocks", "lo", "hi", "block", "slots")
 
 
 def schedule(per: DataFrame) -> DataFrame:
@@ -108,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return full.select(*columns).unionByName(at.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
 
 
-#: The same in SQL.
+#: The same in SQL, for tables in which no source is so small that its blocks are smaller.
 ORACLE = f"""
 WITH r AS (SELECT doc_id AS id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 a AS (SELECT src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY src NULLS LAST) AS idx FROM r GROUP BY src),

@@ -46,3 +46,15 @@ def test_targets_and_limits(spark):
     assert sorted(map(str, got)) == sorted(map(str, op.mix(d.repartition(7)).collect()))
     assert op.mix(d.limit(0)).collect() == []
     assert [r.taken for r in op.mix(d.filter("text = ''")).collect()][:1] == [0]
+
+
+def test_small_sources_beside_a_huge_one(spark, monkeypatch):
+    monkeypatch.setattr(op, "sizes", lambda docs, *_: docs.selectExpr("doc_id AS id", "source AS src", "size"))
+    small = {"a": 2000, "b": 5000, "c": 20_000, "d": 30_000, "e": 90_000, "f": 3, "h": 7_000_000}
+    rows = [(f"{s}{i}", s, n // 10 + (n % 10 if i == 0 else 0)) for s, n in small.items() for i in range(10)] + [(f"z{i}", "z", 50_000_000) for i in range(100)]
+    got = op.mix(spark.createDataFrame(rows, "doc_id string, source string, size long")).collect()
+    want = level_targets({**small, "z": 5_000_000_000})
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    for s, target in want.items():
+        taken = sum(r.taken for r in got if r.doc_id[0] == s)
+        assert abs(taken - target) <= 0.003 * target + 4, (s, target, taken)
