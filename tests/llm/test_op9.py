@@ -31,3 +31,19 @@ def test_every_template_finds_itself():
             assert best == name and cosine > 0.999
     s = "Für é\nReleased under the MIT License.\n"
     assert [x[:3] for x in op.scan(s, t)] == [(6, 37, "MIT")]
+
+
+def names(text):
+    return [x[2] for x in op.scan(text, op.Templates())]
+
+
+def test_statements_with_prose_around_them_on_short_lines():
+    assert names("Released under the MIT License. See the file for more details of this project") == ["MIT"]
+    assert names("Copyright 2020 Foo Corporation, all rights reserved. Released under the MIT License.") == ["MIT"]
+    assert names("it under the terms of the GNU General Public License as published by") == ["GPL"]
+    for n in (1, 5, 20, 200):
+        assert names("plain words " * n + "licensed under the Apache License, Version 2.0 " + "more words " * n) == ["Apache-2.0"]
+    header = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nx = 1\n"
+    for name, long, v in (("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-2.1", "Lesser General Public License", 2.1), ("AGPL-3.0", "Affero General Public License", 3)):
+        assert names(header.format(long, v)) == [name]
+    assert names("he got permission for the MIT course and a driving license in 1990, version 2") == []
