@@ -47,3 +47,20 @@ def test_statements_with_prose_around_them_on_short_lines():
     for name, long, v in (("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-2.1", "Lesser General Public License", 2.1), ("AGPL-3.0", "Affero General Public License", 3)):
         assert names(header.format(long, v)) == [name]
     assert names("he got permission for the MIT course and a driving license in 1990, version 2") == []
+
+
+def test_variants_versions_and_whole_licences():
+    for text, want in {
+        "SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0"], "// SPDX-License-Identifier: ISC": ["ISC"], "/* SPDX-License-Identifier: CC0-1.0 */": ["CC0-1.0"],
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-2-Clause": ["MIT", "Apache-2.0", "BSD-2-Clause"],
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": ["GPL-2.0"],
+        "GNU Affero General Public License version 3": ["AGPL-3.0"], "Licensed under the BSD 2-Clause License": ["BSD-2-Clause"], "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"], "Eclipse Public License 2.0": ["EPL-2.0"], "under GPLv3.": ["GPL-3.0"], "LGPL v2.1": ["LGPL-2.1"], "the GNU GPL, version 2": ["GPL-2.0"],
+    }.items():
+        assert names(text) == want, text
+    for f in op.TEXTS.glob("*.txt"):
+        text = "Copyright (c) 2021 Some Body\n\n" + f.read_text()
+        assert op.scan(text, op.Templates())[0][:3] == (0, len(text), f.stem)
+    three = (op.TEXTS / "BSD-3-Clause.txt").read_text()
+    two = three[: three.index("3. Neither")] + three[three.index("THIS SOFTWARE") :]
+    assert names(two) == ["BSD-2-Clause"]
