@@ -16,7 +16,7 @@ training texts that the counts leave out: their 99.5th percentile, times
 
 The models are fitted on the driver from a bounded sample of labelled texts:
 about ``CHARS`` characters a language and ``ALL_CHARS`` in all, chosen by a hash
-of the id; texts of over a tenth of a language's bound are left out of the sample.
+of the id; of each text at most its first characters, a tenth of a language's bound.
 Prediction reads every whole text, and nothing but the text.
 
 A null text or one without letters gives ``und``, score 0, rejected; with no
@@ -197,13 +197,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Models from a bounded sample of labelled rows; hold rows out before."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = F.length(text_col)
-    sums = known.groupBy(lang_col).agg(F.sum(n).alias("n")).collect()
-    each = min(chars, all_chars // max(1, len(sums)))
+    each = min(chars, all_chars // max(1, known.select(lang_col).distinct().count()))
+    most = max(1, each // 10)  # characters of one text, its first ones
+    sums = known.groupBy(lang_col).agg(F.sum(F.least(n, F.lit(most))).alias("n")).collect()
     share = F.lit(0)
     for r in sums:
         share = F.when(F.col(lang_col) == r[0], F.lit(min(1_000_000, int(1e6 * each / max(1, r["n"]))))).otherwise(share)
     pick = F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1_000_000))
-    rows = known.filter((pick < share) & (n <= each // 10)).select(text_col, lang_col, F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(5)) == 0).collect()
+    rows = known.filter(pick < share).select(F.substring(text_col, 1, most), lang_col, F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(5)) == 0).collect()
     rows.sort()
     return Models([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
 

@@ -82,3 +82,11 @@ def test_edges(spark):
     assert op.identify(d.limit(0), m).collect() == []
     none = op.fit(train.limit(0))
     assert {r.lang_pred for r in op.identify(d, none).collect()} == {"und"}
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rows = [(i, "the cat sat on the mat " * 20, "en") for i in range(40)] + [(100 + i, "der hund lief in den wald " * 2000, "de") for i in range(2)]
+    rows += [(200 + i, "le chien court dans la rue " * 20_000, "fr") for i in range(2)] + [(300 + i, "le chat dort dans la maison " * 5, "fr") for i in range(20)]
+    models = op.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=20_000, all_chars=60_000)
+    assert sorted(models.langs) == ["de", "en", "fr"]
+    assert [x[0] for x in models.predict(["der hund lief in den wald", "le chat dort dans la maison", "the cat sat on the mat"])] == ["de", "fr", "en"]
