@@ -1,7 +1,7 @@
 """Near-duplicate detection by MinHash with one permutation.
 
 A text's set holds the 64-bit hashes of its five-word shingles; texts with equal
-sets are one class, represented by the smallest id. A class's signature comes from
+sets are one class. A class's signature comes from
 one hash function: ``BINS`` ranges of hashes, the smallest one in each, and empty
 ranges filled by optimal densification (each tries the same pseudo-random ranges in
 every text until it finds one that isn't empty). ``BANDS`` groups of values are
@@ -9,22 +9,25 @@ the buckets: at a similarity of 0.85 eight values agree with probability 0.27, s
 pair misses all 48 buckets with probability 3e-7.
 
 Candidates are stars: each other member of a bucket with the one that meets most
-others over all buckets, the smallest id if equal; of many variants of a text that is
+others over all buckets, the smallest number if equal; of many variants of a text that is
 most likely the text itself. All are confirmed on full sets. Members of one bucket that
 stay in different components after that may still be linked to each other, so a second
 pass tries, in such buckets, every member outside the largest component with every
-member of another component, once for each pair (in the smallest bucket that it shares)
-and if it shares at least ``SHARED`` buckets (a pair at 0.85 shares 13 on average, fewer
-than 3 with probability 4e-5). The join itself confirms them on full sets, so that it
-gives links only.
+member of another component. Each brings its sketch, the ``SKETCH`` smallest hashes of its
+set, and the join drops pairs by it: sets no larger than the sketch are compared exactly
+there; of larger ones at least ``LEAST`` of the smallest hashes of the union are common at
+0.85 but for a probability of 1e-8. What is left, pairs of numbers, goes through the
+same confirmation on full sets: first the most similar pair of any two components, then
+the pairs of those still apart.
 Components come from minimum labels with pointer jumping; each step is a
-written table. Joins on hot keys have an exchange on both sides, so that Spark
+written table, deleted after use. Joins on hot keys have an exchange on both sides, so that Spark
 splits skewed ones.
 
 Defined results: a null text counts as empty; a text without words has an empty set, is
 linked with nothing and kept; one of 1 to 4 words has one shingle, all of it; a null
-id joins its class but never represents it, unless all are null; rows with equal ids
-are expected to have equal texts; other columns aren't read; an empty table gives an
+id is linked like others but never represents a component, unless all of its ids are null; rows
+with equal ids and other texts are rows of their own, each in its text's component; rows with
+equal ids and texts share their fate; other columns aren't read; an empty table gives an
 empty result.
 """
 
@@ -37,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.common import id_field, map_texts, materialise
+from heronry.llm.common import Scratch, id_field, map_texts, sieve
 from heronry.llm.words import mixed, word_hashes
 
 WORDS, PERCENT = 5, 85
 BINS, BANDS = 384, 48
 ROWS = BINS // BANDS
-#: Buckets that a pair of the second pass shares at least.
-SHARED = 3
+#: Hashes in a sketch, and how many of those of a union two similar large sets have in common at least.
+SKETCH, LEAST = 512, 381
 _rng = np.random.default_rng(8)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROW = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +103,11 @@ def buckets(s: np.ndarray) -> np.ndarray:
     return mixed(rows.sum(axis=1) + _BAND).view(np.int64)
 
 
+def _key(s: np.ndarray) -> bytes | None:
+    """The name of a set; null if empty."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, n_shingles, key of the set (null if empty) and its bucket keys."""
     schema = T.StructType([id_field(docs, id_col), T.StructField("n", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -109,88 +117,139 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return {
             id_col: ids,
             "n": [len(s) for s in sets],
-            "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            "key": [_key(s) for s in sets],
             "bands": [buckets(s) if len(s) else None for s in sets],
         }
 
     return map_texts(docs, work, schema, id_col, text_col).withColumnRenamed(id_col, "id")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full sets of the texts whose ids are in ``ids``, one for each id."""
-    wanted = docs.select(id_col, text_col).join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
-    schema = T.StructType([id_field(docs, id_col), T.StructField("set", T.ArrayType(T.LongType()))])
+def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
+    """(node, set) for ``nodes`` (node, id, key): the text of each is a row with that id whose set has that key.
 
-    def work(ids, texts):
-        return {id_col: ids, "set": [s.view(np.int64) for s in shingle_sets(texts)]}
+    With ``most``, the sketch of that many hashes, each reduced to 32 bits.
+    """
+    two = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    wanted = nodes.join(sieve(two, "__id", nodes, "id"), F.col("id").eqNullSafe(F.col("__id"))).select(F.struct("node", "key").alias("name"), "text")
+    kind = T.LongType() if most is None else T.IntegerType()
+    schema = T.StructType([T.StructField("name", wanted.schema["name"].dataType), T.StructField("set", T.ArrayType(kind))])
+    shown = (lambda s: s.view(np.int64)) if most is None else lambda s: s[:most].astype(np.uint32).view(np.int32)
+
+    def work(names, texts):
+        sets = shingle_sets(texts)
+        return {"name": names, "set": [shown(s) if _key(s) == k else None for s, k in zip(sets, names.field("key").to_pylist())]}
 
-    return map_texts(wanted, work, schema, id_col, text_col).withColumnRenamed(id_col, "id").dropDuplicates(["id"])
+    found = map_texts(wanted, work, schema, "name", "text").filter("set IS NOT NULL")
+    return found.select("name.node", "set").dropDuplicates(["node"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialise(full_sets(docs, ids, id_col, text_col), "near-sets")
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+def confirm(s: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = s.save(classes.select("node", "id", "key").join(nodes, "node", "left_semi"), "nodes")
+    sets = s.save(sets_of(docs, nodes, id_col, text_col), "sets")
+    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return both.filter(100 * common >= PERCENT * union).select("a", "b")
+    links = s.save(both.filter(100 * common >= PERCENT * union).select("a", "b"), "links")
+    s.drop(sets, nodes)
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for all ids of the links; comp is the smallest id reachable."""
-    links = materialise(links.union(links.select("b", "a")).distinct(), "near-links")
-    labels = materialise(links.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "near-labels")
+def components(s: Scratch, links: DataFrame) -> DataFrame:
+    """(node, comp) for all nodes of the links; comp is the smallest node reachable."""
+    links = s.save(links.union(links.select("b", "a")).distinct(), "both-ways")
+    labels = s.save(links.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels")
     while True:
-        seen = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        near = labels.join(seen, "id").select("id", F.least("comp", "near").alias("near"), F.col("comp").alias("old"))
-        near = materialise(near, "near-step")
-        up = near.select(F.col("id").alias("near"), F.col("near").alias("up"))
-        jumped = materialise(near.join(up, "near").select("id", F.least("near", "up").alias("comp"), "old"), "near-labels")
+        seen = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = labels.join(seen, "node").select("node", F.least("comp", "near").alias("near"), F.col("comp").alias("old"))
+        near = s.save(near, "step")
+        up = near.select(F.col("node").alias("near"), F.col("near").alias("up"))
+        jumped = s.save(near.join(up, "near").select("node", F.least("near", "up").alias("comp"), "old"), "labels")
+        s.drop(labels, near)
+        labels = jumped
         if not jumped.filter("comp < old").limit(1).count():
-            return jumped.select("id", "comp")
-        labels = jumped.select("id", "comp")
+            s.drop(links)
+            return jumped.select("node", "comp")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id, kept."""
-    sigs = materialise(signatures(docs, id_col, text_col), "near-signatures")
-    classes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "near-classes")
-    rows = classes.filter("id IS NOT NULL").select("id", "n", F.explode("bands").alias("bucket"))
+def stars(s: Scratch, classes: DataFrame) -> DataFrame:
+    """(bucket, node, n, head, head_n) for the members of buckets with several."""
+    rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = materialise(rows.join(materialise(shared, "near-shared"), "bucket"), "near-met")
-    meets = met.groupBy("id").agg(F.sum("m").alias("meets"))
-    met = materialise(met.join(materialise(meets, "near-meets"), "id").drop("m"), "near-met")
-    first = F.min(F.struct((-F.col("meets")).alias("less"), "id", "n"))
-    heads = met.groupBy("bucket").agg(first.alias("h")).select("bucket", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"))
-    members = materialise(met.join(materialise(heads, "near-heads"), "bucket").drop("meets"), "near-members")
-
-    close = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes alone rule out others
-    pairs = members.filter((F.col("id") != F.col("head")) & close(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    tried = materialise(pairs, "near-pairs")
-    links = materialise(confirm(docs, tried, id_col, text_col), "near-links")
-    labels = components(links)
-    at = materialise(members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp")), "near-open")
+    met = s.save(rows.join(shared, "bucket"), "met")
+    meets = met.groupBy("node").agg(F.sum("m").alias("meets"))
+    ranked = s.save(met.join(meets, "node").drop("m"), "ranked")
+    first = F.min(F.struct((-F.col("meets")).alias("less"), "node", "n"))
+    heads = ranked.groupBy("bucket").agg(first.alias("h")).select("bucket", F.col("h.node").alias("head"), F.col("h.n").alias("head_n"))
+    members = s.save(ranked.join(s.save(heads, "heads"), "bucket").drop("meets"), "members")
+    s.drop(met, ranked)
+    return members
+
+
+def _close(x, y):
+    """Whether sizes alone allow the similarity."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b, common) in one bucket but different components that sketches don't rule out."""
+    at = s.save(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp")), "open")
     sized = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sized.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("kinds"))
-    largest = materialise(largest.filter("kinds > 1").drop("kinds"), "near-mixed")
-    rest = materialise(at.join(largest, "bucket"), "near-rest")
-    sets = full_sets(docs, rest.select("id").distinct(), id_col, text_col).join(classes.select("id", "bands"), "id")
-    rest = rest.join(materialise(sets, "near-sets"), "id")
-    c = rest.filter("comp <> largest").select("bucket", *[F.col(x).alias(f"c_{x}") for x in ("id", "n", "comp", "set", "bands")])
-    both = F.array_intersect("bands", "c_bands")
-    common = F.size(F.array_intersect("set", "c_set"))
-    more = rest.join(c, "bucket").filter(
-        (F.col("comp") != F.col("c_comp")) & close(F.col("n"), F.col("c_n")) & (F.size(both) >= SHARED) & (F.array_min(both) == F.col("bucket"))
-        & (100 * common >= PERCENT * (F.col("n") + F.col("c_n") - common))
+    rest = s.save(at.join(largest.filter("kinds > 1").drop("kinds"), "bucket"), "rest")
+    nodes = s.save(classes.select("node", "id", "key", "bands").join(rest.select("node").distinct(), "node"), "nodes")
+    sketches = sets_of(docs, nodes.drop("bands"), id_col, text_col, SKETCH).withColumnRenamed("set", "sketch")
+    sketches = s.save(sketches.join(nodes.select("node", "bands"), "node"), "sketches")
+    full = s.save(rest.join(sketches, "node"), "sketched")
+    c = full.filter("comp <> largest").select("bucket", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp", "bands", "sketch")])
+    #: A pair is compared in the smallest of the buckets that it shares only.
+    here = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("bucket")
+    common = F.size(F.array_intersect("sketch", "c_sketch"))
+    #: One more than is common, since two hashes of a set may be equal in their 32 bits.
+    small = 100 * (common + 1) >= PERCENT * (F.col("n") + F.col("c_n") - common - 1)
+    similar = F.when(F.greatest("n", "c_n") <= SKETCH, small).otherwise(common >= LEAST)
+    #: Once also where both are outside the largest component.
+    once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("c_node"))
+    found = full.join(c, "bucket").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")) & here & similar)
+    swap = F.col("comp") > F.col("c_comp")
+    side = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    pairs = found.select(
+        side("node", "c_node").alias("a"), side("c_node", "node").alias("b"), F.least("comp", "c_comp").alias("comp_a"), F.greatest("comp", "c_comp").alias("comp_b"), common.alias("common")
     )
-    more = materialise(more.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct(), "near-more")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-    found = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
-    found = materialise(found, "near-found")
-    out = sigs.select("id", "n", "key").join(found, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("comp"))
+    out = s.save(pairs, "across")
+    s.drop(at, rest, nodes, sketches, full)
+    return out
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id, kept."""
+    with Scratch(docs.sparkSession, "near") as s:
+        sigs = s.save(signatures(docs, id_col, text_col), "signatures")
+        rows = s.keep(sigs.select("id", "n", "key"), "rows")
+        classes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        classes = s.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        s.drop(sigs)
+        members = stars(s, classes)
+        tried = members.filter((F.col("node") != F.col("head")) & _close(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        links = confirm(s, docs, classes, s.save(tried, "pairs"), id_col, text_col)
+        labels = components(s, links)
+        more = across(s, docs, classes, members, labels, id_col, text_col)
+        if more.limit(1).count():
+            best = more.groupBy("comp_a", "comp_b").agg(F.max(F.struct("common", "a", "b")).alias("p"))
+            best = s.save(best.select("p.a", "p.b"), "best")
+            links = links.union(confirm(s, docs, classes, best, id_col, text_col))
+            labels = components(s, links)
+            of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"now_{x}"))
+            left = more.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+            apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
+            left = s.save(left.filter(apart).select("a", "b"), "left")
+            if left.limit(1).count():
+                labels = components(s, links.union(confirm(s, docs, classes, left, id_col, text_col)))
+        comps = classes.join(labels, "node", "left").select("key", "id", F.coalesce("comp", "node").alias("comp"))
+        named = comps.groupBy("comp").agg(F.min("id").alias("component"))
+        found = s.keep(comps.join(named, "comp").select("key", "component"), "found")
+    out = rows.join(found, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

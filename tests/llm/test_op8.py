@@ -60,6 +60,33 @@ def test_edges(spark):
     assert op.near_dedup(d.limit(0)).collect() == []
 
 
+def test_equal_ids_with_other_texts_are_rows_of_their_own(spark):
+    near = " ".join(f"u{i}" for i in range(40))
+    rows = [(7, "a b c d e f"), (7, near), (3, near + " more"), (7, near), (9, "a b c d e f"), (None, near), (None, "only null")]
+    got = {tuple(r) for r in op.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 2, 7, True), (9, 2, 7, False), (7, 36, 3, False), (3, 37, 3, True), (None, 36, 3, False), (None, 1, None, True)}
+
+
+def test_recall_of_planted_pairs_and_sketches():
+    rng = np.random.default_rng(5)
+    missed = tried = 0
+    for n in (20, 60, 150, 1000):
+        for _ in range(1500):
+            share = rng.uniform(0.85, 0.9)
+            u = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            k = int((1 - share) * n)
+            cut = int(rng.integers(0, k + 1))
+            x, y = np.unique(u[cut:]), np.unique(u[: n - (k - cut)])
+            tried += 1
+            missed += not np.intersect1d(op.buckets(x), op.buckets(y)).size
+            common = np.intersect1d(x[: op.SKETCH].astype(np.uint32), y[: op.SKETCH].astype(np.uint32)).size
+            if max(len(x), len(y)) > op.SKETCH:
+                assert common >= op.LEAST
+            else:
+                assert 100 * (common + 1) >= op.PERCENT * (len(x) + len(y) - common - 1)
+    assert tried == 6000 and missed == 0
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.85):
