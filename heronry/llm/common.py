@@ -63,15 +63,28 @@ def filter_texts(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
 SIEVE_BITS = 1 << 24
 
 
-def sieve(df: DataFrame, col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+def _may_be(df: DataFrame, key, wanted: DataFrame, wanted_key) -> DataFrame:
+    """``df`` with a column __may: whether a bit for the hash of the key is set by some wanted row."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bits = wanted.select(place(wanted_key).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, int(__h & 63)))").alias("__bits"))
+    at = df.withColumn("__h", place(key)).join(F.broadcast(bits), F.shiftright("__h", 6) == F.col("__word"), "left")
+    may = F.coalesce(F.getbit("__bits", F.expr("int(__h & 63)")) == 1, F.lit(False))
+    return at.withColumn("__may", may).drop("__h", "__word", "__bits")
+
+
+def sieve(df: DataFrame, key, wanted: DataFrame, wanted_key) -> DataFrame:
     """Rows of ``df`` that may be among ``wanted`` by a bit for the hash of a column; spares a join most of the others.
 
     Every wanted row passes; the bits have a fixed size, so with more wanted rows than bits all pass.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
-    bits = wanted.select(place(wanted_col).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, int(__h & 63)))").alias("__bits"))
-    kept = df.withColumn("__h", place(col)).join(F.broadcast(bits), F.shiftright("__h", 6) == F.col("__word"))
-    return kept.filter(F.getbit("__bits", F.expr("int(__h & 63)")) == 1).drop("__h", "__word", "__bits")
+    return _may_be(df, key, wanted, wanted_key).filter("__may").drop("__may")
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` isn't in ``gone``; most rows are passed on by the sieve and not exchanged."""
+    at = _may_be(df, key, gone, key)
+    rest = at.filter("__may").join(gone.select(F.col(key).alias("__gone")), F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    return at.filter("NOT __may").unionByName(rest).drop("__may")
 
 
 def id_field(docs: DataFrame, id_col: str = "doc_id") -> T.StructField:

@@ -70,8 +70,7 @@ def op4_media_documents(spark, sf_dir):
 
 
 def op6_exact_dedup_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return op6_exact_dedup.exact_dedup(d).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return op6_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=[]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict:
