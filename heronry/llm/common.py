@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from heronry.session import Scratch, materialise, new_folder, shared_dir, table  # noqa: F401
+from heronry.session import Scratch, materialise, new_folder, shared_dir, table, temporary  # noqa: F401
 
 #: Texts handled together inside one Arrow batch, in characters and rows; bounds memory.
 SLICE_CHARS, SLICE_ROWS = 1_000_000, 512

@@ -33,3 +33,39 @@ def test_stages_against_brute_force(spark):
     assert sorted(r.doc_id for r in last) == sorted(mixed) and all(r.round_trip for r in last)
     for r in last[:20]:
         assert bpe.decode([int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]) == rows[r.doc_id].text.encode()
+
+
+def test_edges_of_each_stage(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    real = [r.asDict() for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect()]
+    base = [(i, r["text"], r["lang"], r["source"], r["n_chars"], i, "t", 3, "m") for i, r in enumerate(real)]
+    text = next(r["text"] for r in real if r["lang"] == "en" and len(r["text"].split()) > 30)
+    other = next(r["text"] for r in real if r["lang"] == "en" and len(r["text"].split()) > 30 and r["text"] != text)
+    new = text + " and then some more words of this kind"
+    odd = [(500, None, "en"), (501, "", "en"), (None, new, "en"), (None, new, None), (502, new, None), (502, new.replace(" ", "  "), None), (502, new, None), (503, other + " quite another end", None), (503, text + " the end", None)]
+    rows = base + [(i, t, g, None, 1, 1, "x", None, None) for i, t, g in odd]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, times string, nth int, row string")
+    at, seen = d, []
+    for name, f in p.STAGES:
+        at = materialise(f(spark, at, ""), name)
+        if name != "encode":
+            assert at.schema == d.schema
+        seen.append(sorted(((r.doc_id, r.text) for r in at.collect() if r.doc_id is None or r.doc_id >= 500), key=str) if name != "encode" else at.count())
+    language, exact, near, mixed, _ = seen
+    assert len(language) == 7 and all(t for _, t in language)  # null and empty texts are rejected
+    assert len(exact) == 3 and (502, new) in exact or (502, new.replace(" ", "  ")) in exact
+    assert {i for i, _ in exact} == {502, 503} and len(near) <= 3 and {i for i, _ in near} <= {502, 503}
+    for stages in (p.STAGES, p.STAGES[3:]):
+        at = d.limit(0)
+        for _, f in stages:
+            at = f(spark, at, "")
+        assert at.collect() == []
+
+
+def test_run_leaves_no_folders_of_its_stages(spark, tmp_path):
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {x.name for x in root.iterdir()}
+    assert p.run(spark, "/root/testdata/sf0.001").count() > 100
+    assert all(x.name.startswith("heronry-stage-") for x in root.iterdir() if x.name not in before)
