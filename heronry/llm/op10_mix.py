@@ -18,7 +18,7 @@ document are those of its parts in taken blocks, counted as often as taken.
 A block is at most 1/``SLOTS`` of all words, and at most 1/``BLOCKS`` of its source's size and
 of its target, or one word; so a target is met within a few thousandths of itself or a
 few words, however large the other sources are. Running sums over a source go by
-buckets of the hash, ranks over the schedule by stretches of it: no window holds
+buckets of the hash, whose number grows with the table, ranks over the schedule by stretches of it: no window holds
 a whole source.
 
 A null text or one without words has size 0 and nothing taken; null is a source of its
@@ -41,7 +41,8 @@ BLOCKS = 4096
 #: 2**32 / golden ratio, odd.
 GOLDEN = 2_654_435_769
 WORDS = r"[^\x20\x09-\x0D]+"
-HEX = 2  # digits of the shuffle hash that make a bucket
+#: Rows that a bucket of the shuffle hash holds at most, about; a bucket has so many leading digits in common.
+BUCKET_ROWS = 65_536
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -98,7 +99,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     at = rows.alias("r").join(per.alias("p"), F.col("r.src").eqNullSafe(F.col("p.src"))).select("id", "size", "idx", "source_size", "target", "block", key.alias("key"))
-    at = at.withColumn("bucket", F.substring("key", 1, HEX))
+    digits = 2
+    while rows.count() > BUCKET_ROWS * 16**digits:
+        digits += 1
+    at = at.withColumn("bucket", F.substring("key", 1, digits))
     sums = at.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("idx", "bucket", F.coalesce(before, F.lit(0)).alias("before"))

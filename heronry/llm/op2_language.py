@@ -16,7 +16,9 @@ training texts that the counts leave out: their 99.5th percentile, times
 
 The models are fitted on the driver from a bounded sample of labelled texts:
 about ``CHARS`` characters a language and ``ALL_CHARS`` in all, chosen by a hash
-of the id; of each text at most its first characters, a tenth of a language's bound.
+of id and text at a share that has no least value; of each text at most its first characters, a tenth of a language's bound.
+The alphabet has the 4,093 letters that are most frequent there; all others, such as rare
+Han signs, are one further letter.
 Prediction reads every whole text, and nothing but the text.
 
 A null text or one without letters gives ``und``, score 0, rejected; with no
@@ -193,6 +195,11 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
+def drawn(share, *of):
+    """Whether the 64-bit hash of columns, as a fraction of its range, is below ``share``."""
+    return F.xxhash64(*of).cast("double") / 2.0**64 + 0.5 < share
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = CHARS, all_chars: int = ALL_CHARS) -> Models:
     """Models from a bounded sample of labelled rows; hold rows out before."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -200,11 +207,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = min(chars, all_chars // max(1, known.select(lang_col).distinct().count()))
     most = max(1, each // 10)  # characters of one text, its first ones
     sums = known.groupBy(lang_col).agg(F.sum(F.least(n, F.lit(most))).alias("n")).collect()
-    share = F.lit(0)
+    share = F.lit(0.0)
     for r in sums:
-        share = F.when(F.col(lang_col) == r[0], F.lit(min(1_000_000, int(1e6 * each / max(1, r["n"]))))).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1_000_000))
-    rows = known.filter(pick < share).select(F.substring(text_col, 1, most), lang_col, F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(5)) == 0).collect()
+        share = F.when(F.col(lang_col) == r[0], F.lit(each / max(1, r["n"]))).otherwise(share)
+    rows = known.filter(drawn(share, F.col(id_col), F.col(text_col), F.lit("lang"))).select(F.substring(text_col, 1, most), lang_col, F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(5)) == 0).collect()
     rows.sort()
     return Models([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
 

@@ -5,7 +5,7 @@ Format of a file, in this order; integers are little-endian:
 * 8 bytes ``MAGIC``, then bits an id and ids a block, 32 bits each;
 * blocks: ids of all documents one after the other, cut after ``block`` ids and
   packed into the minimum of bits that the vocabulary needs, lowest bit first;
-* the table: numbers of documents and blocks, then the documents' ids, the
+* the table: numbers of documents, blocks and documents without id (the first ones), then the documents' ids, the
   position of each one's first id in the file and after all of them the number
   of ids, and the byte offset of each block, 64 bits each;
 * the table's length in bytes, 64 bits, and ``MAGIC``.
@@ -15,17 +15,20 @@ offsets count it. Spark writes and reads the files (text and binaryFile), so any
 store that it reaches will do; a reader finds a document's blocks by the table
 and unpacks only these.
 
-Rows go by range of doc_id to files of about ``ROWS`` rows and are sorted there.
+Rows go by range of doc_id, and of a hash of the text where ids are equal, to files of about ``FILE_BYTES`` of
+text and are sorted there; Spark numbers the files in that order.
 A document's start is its position in its file plus the ids of all files before;
-those sums are over files, not documents.
+those sums are over files, not documents. The strings of special tokens in a text become
+these tokens, as the library has it.
 
 A null text counts as empty, so that only the end id remains; a null doc_id sorts
-first and comes back as null; repeated ids keep one entry for each row; other
+first and comes back as null; repeated ids keep one entry for each row, ordered by the text's hash; other
 columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -41,10 +44,9 @@ from heronry.llm.common import materialise, new_folder, sliced
 
 MAGIC = b"HRNIDS01"
 TOKENIZER, END = public_tokenizers.path("byte_bpe_50k.json"), 2
-BLOCK, ROWS = 65_536, 16_384
+BLOCK, FILE_BYTES = 65_536, 32 << 20
 #: Documents read back together.
 STEP = 1024
-NULL_ID = -(1 << 63)
 #: Fixed value: how byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -75,9 +77,10 @@ def write_parts(docs, bits: int, block: int = BLOCK):
     head = MAGIC + np.array([bits, block], dtype="<u4").tobytes()
     yield head
     at, held, kept = len(head) + 1, 0, []
-    names, starts, offsets, total = [], [0], [], 0
+    names, starts, offsets, total, nulls = [], [0], [], 0, 0
     for name, ids in docs:
-        names.append(NULL_ID if name is None else name)
+        nulls += name is None
+        names.append(name or 0)
         total += len(ids)
         starts.append(total)
         kept.append(ids)
@@ -94,7 +97,7 @@ def write_parts(docs, bits: int, block: int = BLOCK):
     if held:
         offsets.append(at)
         yield pack(np.concatenate(kept), bits)
-    table = b"".join(np.array(x, dtype="<i8").tobytes() for x in ([len(names), len(offsets)], names, starts, offsets))
+    table = b"".join(np.array(x, dtype="<i8").tobytes() for x in ([len(names), len(offsets), nulls], names, starts, offsets))
     yield table + len(table).to_bytes(8, "little") + MAGIC
 
 
@@ -108,8 +111,9 @@ class File:
         self.bits, self.block = map(int, np.frombuffer(data, "<u4", 2, 8))
         size = int.from_bytes(data[-17:-9], "little")
         table = np.frombuffer(data, "<i8", size // 8, len(data) - 17 - size)
-        n, blocks = int(table[0]), int(table[1])
-        self.names, self.starts, self.offsets = table[2 : 2 + n], table[2 + n : 3 + 2 * n], table[3 + 2 * n : 3 + 2 * n + blocks]
+        n, blocks, nulls = map(int, table[:3])
+        self.names = [None] * nulls + table[3 + nulls : 3 + n].tolist()
+        self.starts, self.offsets = table[3 + n : 4 + 2 * n], table[4 + 2 * n : 4 + 2 * n + blocks]
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the k-th document."""
@@ -130,12 +134,11 @@ _ready: dict[str, tuple] = {}
 
 
 def encoder(path: str):
-    """This process's tokenizer: text to ids packed as 32-bit integers, and the vocabulary's size."""
+    """This process's tokenizer: texts to ids packed as 32-bit integers, and the vocabulary's size."""
     if path not in _ready:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
         one = lambda chunk: np.array(t.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         begins = np.zeros(t.get_vocab_size(), dtype=bool)
         begins[[i for token, i in t.get_vocab().items() if token.startswith(SPACE)]] = True
@@ -147,24 +150,41 @@ def encoder(path: str):
             every = ids.tobytes()
             return [every[a:b] for a, b in zip(cut, cut[1:])]
 
-        _ready[path] = Chunked(one, many), t.get_vocab_size()
+        chunked = Chunked(one, many)
+        special = {a.content: (i, a) for i, a in t.get_added_tokens_decoder().items()}
+        plain = not any(a.lstrip or a.rstrip or a.single_word for _, a in special.values())
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else re.compile("(?!)")
+
+        def with_special(text: str) -> bytes:
+            """The library encodes what lies between the strings of special tokens by itself."""
+            if not plain:
+                return one(text)
+            parts = cut.split(text)
+            return b"".join(np.uint32(special[x][0]).astype("<u4").tobytes() if k % 2 else chunked(x) if x else b"" for k, x in enumerate(parts))
+
+        def encode(texts: list[str]) -> list[bytes]:
+            odd = {k for k, x in enumerate(texts) if any(c in x for c in special)}
+            found = iter(chunked.all([x for k, x in enumerate(texts) if k not in odd]))
+            return [with_special(x) if k in odd else next(found) for k, x in enumerate(texts)]
+
+        _ready[path] = encode, t.get_vocab_size()
     return _ready[path]
 
 
-def write_files(docs: DataFrame, to: str, path: str = TOKENIZER, end: int | None = END, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_files(docs: DataFrame, to: str, path: str = TOKENIZER, end: int | None = END, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode and write all of ``docs`` below ``to``; files and rows in ascending id order."""
     two = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    files = max(1, -(-docs.count() // rows))
+    files = max(1, -(-(two.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0) // file_bytes))
     schema = T.StructType([T.StructField("part", T.BinaryType())])
     tail = np.array([] if end is None else [end], dtype=np.uint32)
 
     def run(batches):
-        chunked, size = encoder(path)
+        encode, size = encoder(path)
 
         def each():
             for b in batches:
                 for names, texts in sliced(b):
-                    for name, got in zip(names.to_pylist(), chunked.all(texts)):
+                    for name, got in zip(names.to_pylist(), encode(texts)):
                         yield name, np.concatenate((np.frombuffer(got, dtype="<u4"), tail))
 
         rows = each()
@@ -174,18 +194,18 @@ def write_files(docs: DataFrame, to: str, path: str = TOKENIZER, end: int | None
         for part in write_parts(chain([first], rows), width(size)):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
 
-    dealt = two.repartitionByRange(files, "id").sortWithinPartitions("id")
-    dealt.mapInArrow(run, schema).select(F.col("part").cast("string").alias("value")).write.option("compression", "none").text(to)
+    dealt = two.withColumn("h", F.xxhash64("t")).repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h")
+    dealt.select("id", "t").mapInArrow(run, schema).select(F.col("part").cast("string").alias("value")).write.option("compression", "none").text(to)
     return to
 
 
 def read_files(spark, folder: str, id_col: str = "doc_id") -> DataFrame:
     """Per document of the files: id, start, n_tokens, ids_crc32."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("first", id_col, "at", "n_tokens", "ids_crc32", "k")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("part", id_col, "at", "n_tokens", "ids_crc32")])
 
     def run(batches):
         for b in batches:
-            for data in b.column(0):
+            for part, data in zip(b.column(0).to_pylist(), b.column(1)):
                 f = File(data.as_buffer().to_pybytes())
                 n = len(f.names)
                 for i in range(0, n, STEP):
@@ -193,16 +213,15 @@ def read_files(spark, folder: str, id_col: str = "doc_id") -> DataFrame:
                     base = int(f.starts[i])
                     ids = f.between(base, int(f.starts[j])).astype("<u4")
                     crc = [zlib.crc32(ids[int(f.starts[k]) - base : int(f.starts[k + 1]) - base]) for k in range(i, j)]
-                    names = [None if x == NULL_ID else x for x in f.names[i:j].tolist()]
-                    cols = [[int(f.names[0])] * (j - i), names, f.starts[i:j], np.diff(f.starts[i : j + 1]), crc, range(i, j)]
+                    cols = [[part] * (j - i), f.names[i:j], f.starts[i:j], np.diff(f.starts[i : j + 1]), crc]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=schema.names)
 
-    files = spark.read.format("binaryFile").load(folder).filter(F.col("length") > 0).select("content")
+    files = spark.read.format("binaryFile").load(folder).filter(F.col("length") > 0).select(F.regexp_extract("path", r".*part-(\d+)", 1).cast("long").alias("part"), "content")
     rows = materialise(files.mapInArrow(run, schema), "token-rows")
-    totals = rows.groupBy("first").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(offsets, "first").select(id_col, (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(offsets, "part").select(id_col, (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, to: str | None = None, **how) -> DataFrame:

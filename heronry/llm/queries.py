@@ -65,7 +65,7 @@ def op4_media_documents(spark, sf_dir):
     m = op4_media.media_columns(table(spark, sf_dir, "documents"))
     return m.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "fingerprint",
     )
 
 

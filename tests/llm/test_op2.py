@@ -90,3 +90,17 @@ def test_languages_of_long_texts_are_learned(spark):
     models = op.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=20_000, all_chars=60_000)
     assert sorted(models.langs) == ["de", "en", "fr"]
     assert [x[0] for x in models.predict(["der hund lief in den wald", "le chat dort dans la maison", "the cat sat on the mat"])] == ["de", "fr", "en"]
+
+
+def test_ties_go_to_the_first_by_name(spark):
+    rows = [(i, "same words for both of them", g) for i in range(20) for g in ("xx", "aa")]
+    m = op.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [x[0] for x in m.predict(["words for them", "both of them"])] == ["aa", "aa"]
+
+
+def test_shares_below_a_millionth_still_draw(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3_000_000).select(op.drawn(F.lit(3e-6), "id", F.lit("lang")).alias("hit"))
+    assert 0 < rows.filter("hit").count() < 40
+    assert spark.range(1000).filter(op.drawn(F.lit(1.0), "id")).count() == 1000

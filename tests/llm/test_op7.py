@@ -8,7 +8,6 @@ from tokenizers import Tokenizer
 from heronry.llm import op7_token_files as op
 
 LIB = Tokenizer.from_file(op.TOKENIZER)
-LIB.encode_special_tokens = True
 
 
 @settings(max_examples=100, deadline=None)
@@ -27,20 +26,36 @@ def test_file_round_trip(docs, block):
     data = b"".join(p + b"\n" for p in op.write_parts(enumerate(docs), op.width(1001), block))
     f = op.File(data)
     assert [f.ids(k).tolist() for k in range(len(docs))] == [d.tolist() for d in docs]
-    assert f.names.tolist() == list(range(len(docs)))
+    assert f.names == list(range(len(docs)))
+    g = op.File(b"".join(p + b"\n" for p in op.write_parts([(None, d) for d in docs] + [(-(1 << 63), np.zeros(3, "u4"))], op.width(1001), block)))
+    assert g.names == [None] * len(docs) + [-(1 << 63)]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["the", " ", "  ", "\n", "\t", "\xa0", "é", "'s", "12", "!!", "\x1c", "\x85", "日本", "\U0001f600", "<|endoftext|>"]), max_size=20).map("".join), max_size=4))
+@given(st.lists(st.lists(st.sampled_from(["the", " ", "  ", "\n", "\t", "\xa0", "é", "'s", "12", "!!", "\x1c", "\x85", "日本", "\U0001f600", "<|endoftext|>", "<|endof"]), max_size=20).map("".join), max_size=4))
 def test_chunks_equal_library(texts):
-    chunked, _ = op.encoder(op.TOKENIZER)
-    assert [np.frombuffer(x, "<u4").tolist() for x in chunked.all(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    encode, _ = op.encoder(op.TOKENIZER)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_strings_become_special_tokens():
+    encode, _ = op.encoder(op.TOKENIZER)
+    assert np.frombuffer(encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_one_id_in_many_files(spark):
+    d = spark.range(400).selectExpr("cast(null as long) AS doc_id", "concat('word ', id) AS text")
+    got = sorted(op.token_files(d, file_bytes=500).collect(), key=lambda r: r.start)
+    assert len(got) == 400 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
 
 
 def test_rows(spark):
     rows = [(i * 3 % 101, f"text {i} of\nmany  words", "q") for i in range(101)] + [(None, None, "q"), (500, "", "q"), (7, "again", "q"), (600, "long word " * 30_000, "q")]
     d = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
-    got = op.token_files(d, rows=20).collect()
+    d = d.union(d.filter("doc_id = 7"))
+    rows += [r for r in rows if r[0] == 7]
+    got = op.token_files(d, file_bytes=3000).collect()
+    assert got == op.token_files(d.repartition(5), file_bytes=3000).collect() or sorted(map(str, got)) == sorted(map(str, op.token_files(d.repartition(5), file_bytes=3000).collect()))
     want, at = [], 0
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*LIB.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
