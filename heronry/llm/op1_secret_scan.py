@@ -43,16 +43,17 @@ ALLOW = re.compile(
     rb"""(?ix)
     ^[a-z_-]+$                                        # words without digits
     | ^[0-9_-]+$                                      # numbers and dates
-    | example | sample | dummy | placeholder | changeme
     | ^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$   # UUID
     | ^(?:[a-z]+[/_-])+[a-z]+[0-9]{0,4}$              # paths of words
     """
 )
+#: Words that make a span no secret if they stand in it.
+ALLOW_WORDS = re.compile(rb"(?i)example|sample|dummy|placeholder|changeme")
 _HEXDIGITS = frozenset(b"0123456789abcdefABCDEF")
 
 
 def entropy_spans(run: bytes) -> list[tuple[int, int]]:
-    """Spans of ``run`` whose windows reach the class's entropy."""
+    """Spans of ``run`` whose windows reach the class's entropy, but for those with a word of the allow list."""
     if ALLOW.search(run):
         return []
     width, least = CLASSES["hex" if _HEXDIGITS.issuperset(run) else "base64"]
@@ -77,7 +78,7 @@ def entropy_spans(run: bytes) -> list[tuple[int, int]]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
                 spans.append((start, i + 1))
-    return spans
+    return [x for x in spans if not ALLOW_WORDS.search(run, *x)]
 
 
 def _runs(member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +107,16 @@ def scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         return out
     at = np.array(found, dtype=np.int64)
     doc = np.searchsorted(offset, at[:, 0], side="right") - 1
+    points: dict[int, np.ndarray] = {}  # of texts beyond ASCII, the code points before each byte
     for k, (s, kind, e) in zip(doc.tolist(), found):
         r, base = raw[k], int(offset[k])
         if len(r) == len(texts[k]):
             out[k].append((s - base, kind, e - base))
         else:
-            first = len(r[: s - base].decode("utf-8", "surrogatepass"))
+            if k not in points:
+                begins = (data[base : base + len(r)] & 0xC0) != 0x80
+                points[k] = np.cumsum(begins) - begins
+            first = int(points[k][s - base])
             out[k].append((first, kind, first + e - s))
     return [sorted(x) for x in out]
 

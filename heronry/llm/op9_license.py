@@ -1,17 +1,19 @@
 """License scanning: TF-IDF cosine to templates, and inheritance by folders.
 
-Around each cue word of a file, windows of words, each as long as a template, slide over its
+Around each cue word of a file (the rarest word that each template needs, so that no window
+that counts is without one), windows of words, each as long as a template, slide over its
 lines joined (comment marks and line ends are no words) and are compared with the template:
 words weighted by their frequency and how few templates have them, as sparse vectors, by
 cosine. Templates are names of licences with their versions and variants, statements, header
 blocks and short licences. A window counts from ``LEAST`` on, and only if it has all words of the
-template that distinguish licences (names, versions, variants) and none of others; of windows
+template that distinguish licences (names, versions, variants; its two rarest words if it has none) and none of others; of windows
 that overlap, the one with most words, by cosine, is taken. Texts that begin like one of the
 licences in the folder ``licenses`` are also compared as a whole. SPDX expressions
 give each identifier in them, known or not. "Only" and "or later" aren't told apart; a licence
 named without its version, or its number of clauses, gets the family's name, such as GPL or BSD.
+Of overlapping windows with equal words by cosine the one in the template's order wins, then the first in the text, then the last by name.
 A file's own licences are those of all its found
-spans. A file is a licence file if its name says so, or if lines with found spans are at least
+spans. A file is a licence file if its name says so, or if found spans are at least
 half of its characters. A file without a licence of its own inherits from the licence
 files of its nearest ancestor folder: the folders that occur are joined, level by
 level, to folders with licence files, and files are joined to their folder's answer. Several
@@ -87,7 +89,7 @@ def _templates() -> dict[str, tuple[str, ...]]:
 #: Names, statements and headers by licence identifier, and whole licences.
 TEMPLATES = _templates()
 TEXTS = Path(__file__).with_name("licenses")
-LEAST, WHOLE, LONGEST = 0.6, 0.9, 400
+LEAST, WHOLE = 0.6, 0.9
 #: Words that distinguish licences: names, variants and clauses; version numbers do too.
 _MARK = frozenset(
     "apache mit isc bsd mozilla mpl eclipse epl cddl eupl european artistic boost zlib wtfpl unlicense unencumbered cc0 zero gnu gpl lgpl agpl gfdl documentation lesser library affero "
@@ -95,8 +97,6 @@ _MARK = frozenset(
 )
 _LOOSE = frozenset(("by", "new", "original", "modified", "library", "documentation", "zero", "neither", "advertising", "clause", "european", "creative", "attribution"))  # also words of prose
 _CLAUSES = frozenset(("endorse", "advertising"))  # words of clauses that whole licences differ in
-_CUE = ("licen", "spdx", "permission", "redistribution", "creative commons", "cc0", "cc by", "cc-by", "public domain", "gpl", "mozilla", "bsd", "apache", "wtfpl", "redistribute")
-_CUES = re.compile("|".join(map(re.escape, _CUE)))
 _WORD = re.compile(r"cc0|[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _JOINED = {"gplv": "gpl", "lgplv": "lgpl", "agplv": "agpl", "noderivs": "noderivatives", "licence": "license", "licenced": "licensed", "licences": "licenses"}
 _SKIP = frozenset(("version", "v", "the"))
@@ -137,9 +137,15 @@ class Templates:
         self.rows = [(name, self.vector(c)) for name, c in rows]
         # name, vector, number of words, and words that a window must have
         self.slide = []
-        for (name, c), (_, v) in zip(rows, self.rows):
+        orders = [[w for w, *_ in words(t)] for _, ts in sorted(templates.items()) for t in ts]
+        for (name, c), (_, v), order in zip(rows, self.rows, orders):
             n = sum(c.values())
-            self.slide.append((name, v, n, marks(c) if n > 8 else frozenset(c)))
+            self.slide.append((name, v, n, marks(c) if n > 8 else frozenset(c), order))
+        plain = lambda w: re.sub("^licens", "licen[sc]", re.sub("^noderivatives$", "noderiv", w))  # noqa: E731  words() makes spellings one
+        rare = lambda c: sorted((w for w in c if not _NUMBER.match(w)), key=lambda w: (df[w], -len(w), w))
+        self.slide = [(name, v, n, need or frozenset(rare(v)[:2]), order) for name, v, n, need, order in self.slide]
+        rarest = {rare(need)[0] for *_, need, _ in self.slide}
+        self.cues = re.compile("|".join(("(?<![a-z])" if len(w) < 4 else "") + plain(w) for w in sorted(rarest)))
         self.texts = []
         for f in sorted(TEXTS.glob("*.txt")):
             plain = [w for w, *_ in words(f.read_text("utf-8"))]
@@ -156,11 +162,11 @@ class Templates:
         v = self.vector(terms(line))
         return max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.rows), key=lambda r: r[0], default=(0.0, ""))
 
-    def windows(self, part: list[str]) -> list[tuple[float, int, int, str, float]]:
-        """(words by cosine, first, after last, licence, cosine) of all windows that agree with a template."""
+    def windows(self, part: list[str]) -> list[tuple[float, bool, int, int, str, float]]:
+        """(words by cosine, in order, first, after last, licence, cosine) of all windows that agree with a template."""
         have, out, norms = set(part), [], {}
         idf = [self.idf.get(w, self.other) for w in part]
-        for name, v, n, need in self.slide:
+        for name, v, n, need, order in self.slide:
             if not need <= have or n > len(part):
                 continue
             if n not in norms:
@@ -185,7 +191,7 @@ class Templates:
                     if n > 8 and not any(map(_NUMBER.match, need)):
                         others = {w for w in others if not _NUMBER.match(w)}  # numbers of paragraphs
                     if need <= got and not others:
-                        out.append((n * cosine, a, a + n, name, min(1.0, cosine)))
+                        out.append((round(n * cosine, 6), part[a : a + n] == order, a, a + n, name, min(1.0, cosine)))
         return out
 
 
@@ -209,7 +215,7 @@ _KNOWN = {name.lower(): name for name in TEMPLATES}
 def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
     """(start, end, licence, cosine) of a text's licence names, statements and headers, or of all of it."""
     low = re.sub("[A-Z]", lambda m: m.group().lower(), text) if not text.isascii() else text.lower()
-    if not any(c in low for c in _CUE):
+    if "spdx" not in low and not templates.cues.search(low):
         return []
     got = words(text)
     plain = [w for w, *_ in got]
@@ -223,9 +229,9 @@ def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
                     return [(0, len(text), name, min(1.0, cosine))]
     out = _spdx(text)
     starts = [a for _, a, _ in got]
-    reach = max(n for _, _, n, _ in templates.slide)
+    reach = max(n for _, _, n, *_ in templates.slide)
     parts: list[list[int]] = []
-    for m in _CUES.finditer(low):
+    for m in templates.cues.finditer(low):
         at = bisect_left(starts, m.start() + 1) - 1
         a, b = max(0, at - reach), min(len(got), at + reach + 1)
         if parts and a <= parts[-1][1]:
@@ -233,8 +239,8 @@ def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
         else:
             parts.append([a, b])
     taken = [(a, b) for a, b, *_ in out]
-    found = sorted((r[0], -(a + r[1]), a + r[2], r[3], r[4]) for a, b in parts for r in templates.windows(plain[a:b]))
-    for _, first, last, name, cosine in reversed(found):
+    found = sorted((r[0], r[1], -(a + r[2]), a + r[3], r[4], r[5]) for a, b in parts for r in templates.windows(plain[a:b]))
+    for *_, first, last, name, cosine in reversed(found):
         a, b = got[-first][1], got[last - 1][2]
         if all(b <= x or y <= a for x, y in taken):
             taken.append((a, b))
@@ -242,14 +248,10 @@ def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
     return sorted(out)
 
 
-def covered(text: str, found: list[tuple[int, int, str, float]]) -> int:
-    """Characters of the lines with found spans; of lines over LONGEST only the spans."""
-    parts, total, upto = [], 0, 0
-    for start, end, *_ in found:
-        a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        b = len(text) if b < 0 else b
-        parts.append((a, b) if b - a <= LONGEST else (start, end))
-    for a, b in sorted(parts):
+def covered(found: list[tuple[int, int, str, float]]) -> int:
+    """Characters of the found spans."""
+    total = upto = 0
+    for a, b, *_ in sorted(found):
         total += max(0, b - max(a, upto))
         upto = max(upto, b)
     return total
@@ -269,7 +271,7 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
         return {
             "key": ids,
             "found": [[dict(zip(("start", "end", "license", "cosine"), s)) for s in f] for f in found],
-            "whole": [bool(f) and 2 * covered(t, f) >= len(t) for f, t in zip(found, texts)],
+            "whole": [bool(f) and 2 * covered(f) >= len(t) for f, t in zip(found, texts)],
         }
 
     rows = map_texts(pairs, work, schema, "key", "text")

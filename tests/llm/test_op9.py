@@ -64,3 +64,77 @@ def test_variants_versions_and_whole_licences():
     three = (op.TEXTS / "BSD-3-Clause.txt").read_text()
     two = three[: three.index("3. Neither")] + three[three.index("THIS SOFTWARE") :]
     assert names(two) == ["BSD-2-Clause"]
+
+
+def slow_scan(text, t):
+    """Every window of every template over all words, by plain counts; no cue words."""
+    got = op.words(text)
+    plain = [w for w, *_ in got]
+    rows = []
+    for name, v, n, need, order in t.slide:
+        for a in range(len(plain) - n + 1):
+            part = plain[a : a + n]
+            c = {w: part.count(w) * t.idf.get(w, t.other) for w in set(part)}
+            norm = sum(x * x for x in c.values()) ** 0.5
+            cosine = sum(x * v.get(w, 0.0) for w, x in c.items()) / norm
+            others = op.marks(part) - op._LOOSE - need
+            if n > 8 and not any(op._NUMBER.match(w) for w in need):
+                others = {w for w in others if not op._NUMBER.match(w)}
+            if cosine >= op.LEAST and need <= set(part) and not others:
+                rows.append((round(n * cosine, 6), part == order, -a, a + n, name))
+    taken, out = [], []
+    for *_, first, last, name in sorted(rows, reverse=True):
+        a, b = got[-first][1], got[last - 1][2]
+        if all(b <= x or y <= a for x, y in taken):
+            taken.append((a, b))
+            out.append((a, name))
+    return sorted(out)
+
+
+def test_windows_equal_plain_cosines_of_all_windows():
+    import random
+
+    rng, t = random.Random(9), op.Templates()
+    t.texts = []
+    prose = "the code of this project may be used by all who read the file and its success is not by chance".split()
+    lines = [(name, x) for name, xs in sorted(op.TEMPLATES.items()) for x in xs]
+    for _ in range(60):
+        some = rng.sample(lines, 3)
+        text = " ".join(w for _, x in some for w in [*rng.choices(prose, k=rng.randint(0, 12)), x.upper() if rng.random() < 0.2 else x])
+        assert [(a, name) for a, _, name, _ in op.scan(text, t)] == slow_scan(text, t), text
+    for name, x in lines:
+        assert name in [f[2] for f in op.scan(f"some prose here {x} and some more prose", t)], x
+
+
+def test_inheritance_equals_a_walk_up(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randint(0, 4)))
+        kind = rng.random()
+        name, text = ("LICENSE", rng.choice(["MIT License", "Apache License 2.0", "nothing"])) if kind < 0.2 else (f"f{i}.py", "GNU GPL 2.0" if kind < 0.3 else "code")
+        rows.append((None if i == 9 else i, f"{folder}/{name}" if folder else name, text + f" key {i}", "k", "f"))
+    given = {}
+    own = lambda t: [n for n, s in (("MIT", "MIT"), ("Apache-2.0", "Apache"), ("GPL-2.0", "GNU")) if s in t]
+    for _, path, t, *_ in rows:
+        if path.endswith("LICENSE") and own(t) or own(t) and 2 * len("GNU GPL 2.0") >= len(t):
+            given.setdefault(path.rpartition("/")[0], set()).update(own(t))
+    want = []
+    for i, path, t, *_ in rows:
+        at, up = path.rpartition("/")[0], None
+        while not own(t) and up is None:
+            up = given.get(at)
+            if not at:
+                break
+            at = at.rpartition("/")[0]
+        want.append((str(i), own(t) or (sorted(up) if up else None)))
+    d = spark.createDataFrame(rows, "doc_id long, path string, text string, key string, found string")
+    assert sorted((str(r.doc_id), r.licenses) for r in op.license_scan(d).collect()) == sorted(want)
+
+
+def test_ties_go_to_the_longer_then_the_first():
+    t = op.Templates({"B-1": ("Boost Software License",), "A-1": ("Boost Software License",)})
+    t.texts = []
+    assert [x[2] for x in op.scan("Boost Software License", t)] == ["B-1"]
