@@ -11,9 +11,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _BEFORE_WORD = re.compile(r"(?= \S)")
 #: White space besides the space and the line break.
 RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Stands before a text's first piece; none of the texts cut at spaces has it.
+FIRST = "\r"
 #: Longest chunk kept in the cache, in characters.
 LONGEST = 48
 
@@ -62,13 +68,16 @@ class Cache(dict):
 class Chunked:
     """Encodes texts by ``encode(chunk) -> bytes`` of chunks; bytes of a text are joined.
 
-    ``encode_many(chunks) -> list of bytes``, if there, gets the new words of many
-    texts at once: chunks of one space and a word without white space.
+    Texts without touching white space are cut at their spaces, all of a list together and
+    in columns: a piece is a word after a space, or begins with the line break before it, or
+    with ``FIRST`` where its text does. Each distinct piece is looked up once, and the
+    bytes of all are taken by number. ``encode_many(chunks, first) -> list of bytes``, if there, gets
+    the new pieces together, one space and a word each or, with ``first``, a word each.
     """
 
     def __init__(self, encode, encode_many=None, cap: int = 260_000):
         self.plain = Cache(encode, cap // 4)
-        self.spaced = Cache(lambda word: encode(" " + word), cap)
+        self.pieces = Cache(lambda p: encode(p[1:] if p[:1] == FIRST else p if p[:1] == "\n" else " " + p), cap)
         self.line, self.encode_many = encode("\n"), encode_many
 
     def __call__(self, text: str) -> bytes:
@@ -76,34 +85,41 @@ class Chunked:
 
     def all(self, texts: list[str]) -> list[bytes]:
         """Each text's encoding."""
-        lines = [None if touching(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        if self.encode_many:
-            self._prepare(lines)
-        plain, spaced = self.plain, self.spaced.__getitem__
-        done = []
-        for text, parts in zip(texts, lines):
-            if parts is None:
-                done.append(b"".join([plain[c] for c in _BEFORE_WORD.split(text)]))
-                continue
-            out = []
-            for words in parts:
-                out.append(plain[words[0]])
-                out.extend(map(spaced, words[1:]))
-                out.append(self.line)
-            out.pop()
-            done.append(b"".join(out))
-        return done
-
-    def _prepare(self, lines) -> None:
-        """Encode the words that the cache lacks together."""
-        words: set[str] = set()
-        for parts in lines:
-            for x in parts or ():
-                words.update(x[1:])
-        spaced = self.spaced
-        words.discard("")
-        old = spaced.old
-        new = [w for w in words if w not in spaced and w not in old and len(w) <= LONGEST]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            spaced.put_all(zip(part, self.encode_many([" " + w for w in part])))
+        odd = {k for k, t in enumerate(texts) if touching(t)}
+        even = iter(self._spaced([t for k, t in enumerate(texts) if k not in odd]))
+        return [b"".join([self.plain[c] for c in _BEFORE_WORD.split(t)]) if k in odd else next(even) for k, t in enumerate(texts)]
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        cut = [FIRST + t.replace("\n", " \n") for t in texts]
+        every = pc.split_pattern(pa.array([" ".join(cut)], pa.large_string()), " ").values.dictionary_encode()
+        found = pa.array(self._encoded(every.dictionary.to_pylist()), pa.large_binary()).take(every.indices)
+        at = np.cumsum([0, *[t.count(" ") + 1 for t in cut]])
+        edge = np.frombuffer(found.buffers()[1], dtype=np.int64)[at].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(edge, edge[1:])]
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Encodings of distinct pieces; new words are encoded together."""
+        have, old = self.pieces, self.pieces.old
+        known = list(map(have.get, pieces))
+        new: tuple[list, list] = ([], [])  # after a space, and at the start of a text or line
+        for k, v in enumerate(known):
+            if v is None:
+                p = pieces[k]
+                known[k] = v = old.get(p)
+                if v is not None:
+                    have.put(p, v)
+                elif self.encode_many and 1 < len(p) <= LONGEST:
+                    new[p[0] == "\n" or p[0] == FIRST].append(k)
+        for first, ks in enumerate(new):
+            for i in range(0, len(ks), 4096):
+                part = ks[i : i + 4096]
+                got = self.encode_many([pieces[k][1:] if first else " " + pieces[k] for k in part], first)
+                if first:
+                    got = [self.line + v if pieces[k][0] == "\n" else v for k, v in zip(part, got)]
+                have.put_all((pieces[k], v) for k, v in zip(part, got))
+                for k, v in zip(part, got):
+                    known[k] = v
+        return [have[p] if v is None else v for p, v in zip(pieces, known)]

@@ -143,11 +143,18 @@ def encoder(path: str):
         begins = np.zeros(t.get_vocab_size(), dtype=bool)
         begins[[i for token, i in t.get_vocab().items() if token.startswith(SPACE)]] = True
 
-        def many(chunks: list[str]) -> list[bytes]:
-            """The library splits the joined chunks where they meet: before each token that begins with a space."""
-            ids = np.array(t.encode("".join(chunks), add_special_tokens=False).ids, dtype="<u4")
-            cut = [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
-            every = ids.tobytes()
+        line = np.frombuffer(one("\n"), dtype="<u4")
+
+        def many(chunks: list[str], first: int) -> list[bytes]:
+            """The library splits the joined chunks where they meet: before each token that begins with a space, or at line breaks."""
+            if first and len(line) > 1:
+                return list(map(one, chunks))
+            ids = np.array(t.encode(("\n" if first else "").join(chunks), add_special_tokens=False).ids, dtype="<u4")
+            at = np.flatnonzero(ids == line[0] if first else begins[ids])
+            every, last = ids.tobytes(), 4 * len(ids)
+            if first:
+                return [every[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), last])]
+            cut = [*(4 * at).tolist(), last]
             return [every[a:b] for a, b in zip(cut, cut[1:])]
 
         chunked = Chunked(one, many)
