@@ -12,18 +12,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from heronry.session import Scratch, materialise, new_folder, shared_dir, table, temporary  # noqa: F401
 
 #: Texts handled together inside one Arrow batch, in characters and rows; bounds memory.
-SLICE_CHARS, SLICE_ROWS = 1_000_000, 512
+SLICE_CHARS, SLICE_ROWS = 400_000, 512
 
 
-def sliced(batch: pa.RecordBatch, at: int = 0, text_at: int = 1):
-    """Yield (ids, texts) of a batch in slices of about SLICE_CHARS, whole texts only; null is empty."""
+def sliced(batch: pa.RecordBatch, at: int = 0, text_at: int = 1, chars: int = SLICE_CHARS):
+    """Yield (ids, texts) of a batch in slices of about ``chars``, whole texts only; null is empty."""
     for first in range(0, batch.num_rows, SLICE_ROWS):
         part = batch.slice(first, SLICE_ROWS)
         texts = ["" if t is None else t for t in part.column(text_at).to_pylist()]
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size >= SLICE_CHARS or i == len(texts) - 1:
+            if size >= chars or i == len(texts) - 1:
                 yield part.column(at).slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
 

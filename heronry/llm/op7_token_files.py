@@ -190,7 +190,7 @@ def write_files(docs: DataFrame, to: str, path: str = TOKENIZER, end: int | None
 
         def each():
             for b in batches:
-                for names, texts in sliced(b):
+                for names, texts in sliced(b, chars=1_000_000):
                     for name, got in zip(names.to_pylist(), encode(texts)):
                         yield name, np.concatenate((np.frombuffer(got, dtype="<u4"), tail))
 

@@ -21,7 +21,7 @@ def _power(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 1 << 23:
+        if n <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
