@@ -28,6 +28,17 @@ def sliced(batch: pa.RecordBatch, at: int = 0, text_at: int = 1, chars: int = SL
                 start, size = i + 1, 0
 
 
+#: Rows and bytes that Spark hands to Python at once, where the session has Spark's own values.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", "8388608")}
+
+
+def small_batches(spark) -> None:
+    """Texts are long: hold few of them in Arrow at once. Settings that the user made stay."""
+    for key, (given, ours) in BATCHES.items():
+        if spark.conf.get(key, given) in (given, "256MB", "256m"):
+            spark.conf.set(key, ours)
+
+
 def map_texts(docs: DataFrame, work, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Run ``work(ids, texts) -> dict of columns`` over slices of Arrow batches.
 
@@ -43,6 +54,7 @@ def map_texts(docs: DataFrame, work, schema: T.StructType, id_col: str = "doc_id
                 cols = [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
+    small_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).alias("__i"), F.col(text_col).cast("string").alias("__t"))
     return two.mapInArrow(run, schema)
 
@@ -50,6 +62,7 @@ def map_texts(docs: DataFrame, work, schema: T.StructType, id_col: str = "doc_id
 def filter_texts(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` for which ``keep(texts)`` is true, with all their columns."""
     at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

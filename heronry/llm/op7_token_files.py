@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm.chunks import Chunked
-from heronry.llm.common import materialise, new_folder, sliced
+from heronry.llm.common import materialise, new_folder, sliced, small_batches
 
 MAGIC = b"HRNIDS01"
 TOKENIZER, END = public_tokenizers.path("byte_bpe_50k.json"), 2
@@ -201,6 +201,7 @@ def write_files(docs: DataFrame, to: str, path: str = TOKENIZER, end: int | None
         for part in write_parts(chain([first], rows), width(size)):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
 
+    small_batches(docs.sparkSession)
     dealt = two.withColumn("h", F.xxhash64("t")).repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h")
     dealt.select("id", "t").mapInArrow(run, schema).select(F.col("part").cast("string").alias("value")).write.option("compression", "none").text(to)
     return to
