@@ -17,8 +17,7 @@ member of another component. Each brings its sketch, the ``SKETCH`` smallest has
 set, and the join drops pairs by it: sets no larger than the sketch are compared exactly
 there; of larger ones at least ``LEAST`` of the smallest hashes of the union are common at
 0.85 but for a probability of 1e-8. What is left, pairs of numbers, goes through the
-same confirmation on full sets: first the most similar pair of any two components, then
-the pairs of those still apart.
+same confirmation on full sets.
 Components come from minimum labels with pointer jumping; each step is a
 written table, deleted after use. Joins on hot keys have an exchange on both sides, so that Spark
 splits skewed ones.
@@ -169,7 +168,7 @@ def components(s: Scratch, links: DataFrame) -> DataFrame:
         jumped = s.save(near.join(up, "near").select("node", F.least("near", "up").alias("comp"), "old"), "labels")
         s.drop(labels, near)
         labels = jumped
-        if not jumped.filter("comp < old").limit(1).count():
+        if jumped.filter("comp < old").isEmpty():
             s.drop(links)
             return jumped.select("node", "comp")
 
@@ -194,7 +193,7 @@ def _close(x, y):
 
 
 def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b, comp_a, comp_b, common) in one bucket but different components that sketches don't rule out."""
+    """Pairs (a, b) in one bucket but different components that sketches don't rule out."""
     at = s.save(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp")), "open")
     sized = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sized.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("kinds"))
@@ -213,12 +212,7 @@ def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame,
     #: Once also where both are outside the largest component.
     once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("c_node"))
     found = full.join(c, "bucket").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")) & here & similar)
-    swap = F.col("comp") > F.col("c_comp")
-    side = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    pairs = found.select(
-        side("node", "c_node").alias("a"), side("c_node", "node").alias("b"), F.least("comp", "c_comp").alias("comp_a"), F.greatest("comp", "c_comp").alias("comp_b"), common.alias("common")
-    )
-    out = s.save(pairs, "across")
+    out = s.save(found.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")), "across")
     s.drop(at, rest, nodes, sketches, full)
     return out
 
@@ -236,17 +230,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = confirm(s, docs, classes, s.save(tried, "pairs"), id_col, text_col)
         labels = components(s, links)
         more = across(s, docs, classes, members, labels, id_col, text_col)
-        if more.limit(1).count():
-            best = more.groupBy("comp_a", "comp_b").agg(F.max(F.struct("common", "a", "b")).alias("p"))
-            best = s.save(best.select("p.a", "p.b"), "best")
-            links = links.union(confirm(s, docs, classes, best, id_col, text_col))
-            labels = components(s, links)
-            of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"now_{x}"))
-            left = more.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
-            left = s.save(left.filter(apart).select("a", "b"), "left")
-            if left.limit(1).count():
-                labels = components(s, links.union(confirm(s, docs, classes, left, id_col, text_col)))
+        if not more.isEmpty():
+            second = confirm(s, docs, classes, more, id_col, text_col)
+            if not second.isEmpty():
+                labels = components(s, links.union(second))
         comps = classes.join(labels, "node", "left").select("key", "id", F.coalesce("comp", "node").alias("comp"))
         named = comps.groupBy("comp").agg(F.min("id").alias("component"))
         found = s.keep(comps.join(named, "comp").select("key", "component"), "found")
