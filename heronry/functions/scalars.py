@@ -8,10 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Closed vocabularies of file kinds.
-CODE_EXT = ("py", "cbl", "cob", "cpy", "jcl", "sql", "java", "c", "h", "cs", "vb", "js", "sh", "bat")
-DOC_EXT = ("md", "txt", "docx", "xlsx", "pptx", "pdf", "html", "csv")
+CODE_EXT = (
+    "py", "cbl", "cob", "cpy", "jcl", "sql", "java", "c", "h", "cs", "vb", "js", "sh", "bat", "ts", "cpp", "hpp", "pl", "ps1", "psm1", "go", "rb", "php", "kt", "swift", "scala", "lua", "r", "awk",
+    "ini", "cfg", "conf", "json", "toml",
+)
+DOC_EXT = ("md", "txt", "docx", "xlsx", "pptx", "pdf", "html", "csv", "tsv", "rtf", "log")
 NOISE_EXT = ("tmp", "bak", "swp", "lock")
 SECRET_EXT = ("key", "pem", "ppk", "env")
+SECRET_NAMES = (".env", ".netrc", ".npmrc", ".git-credentials")
+SECRET_BEGINS = (".env.", "id_rsa", "credentials")
 VCS_DIRS = (".git", ".svn", ".hg", ".bzr", "CVS")
 
 
@@ -63,7 +68,12 @@ def is_noise(path: Column) -> Column:
 
 
 def is_secret_name(path: Column) -> Column:
-    return extension(path).isin(*SECRET_EXT) | (base_name(path) == ".env")
+    """By extension, whole name or beginning of the name, either case."""
+    name = F.lower(base_name(path))
+    found = extension(path).isin(*SECRET_EXT) | name.isin(*SECRET_NAMES)
+    for begin in SECRET_BEGINS:
+        found = found | F.startswith(name, F.lit(begin))
+    return found
 
 
 def has_vcs_dir(path: Column) -> Column:
@@ -148,18 +158,36 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+#: Every end of line: as a pattern of Java.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def top_folder(path: Column) -> Column:
+    """First folder; null for files at the root."""
+    return F.when(F.contains(path, F.lit("/")), F.element_at(parts(path), 1))
+
+
+def clip_bytes(text: Column, n: int) -> Column:
+    """The longest beginning of at most ``n`` bytes of UTF-8 that cuts no character."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda back: F.hex(F.substring(raw, n + 1 - back, 1)).rlike("^[89AB]")  # noqa: E731  a byte within a character
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substr(raw, F.lit(1), F.lit(n) - back), "UTF-8"))
+
+
 def sniff(text: Column) -> Column:
     """binary, code or document by content, first rule that holds."""
     n = F.greatest(F.length(text), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, LINE_END), lambda x: x.rlike(r"\S"))
     share = lambda rule: F.size(F.filter(lines, rule)) / F.greatest(F.size(lines), F.lit(1))
     return (
         F.when(F.length(text) == 0, "document")
-        .when(F.contains(text, F.lit("PRIVATE KEY-----")) | (F.regexp_count(text, F.lit("[\\x00�]")) / n > 0.02), "binary")
-        .when(F.startswith(text, F.lit("#!")), "code")
-        .when(F.regexp_count(text, F.lit("[぀-ヿ一-鿿]")) / n > 0.1, "document")
-        .when(share(lambda x: x.rlike(r"^\s*[A-Za-z0-9_.-]+\s*[:=]\s*\S+\s*$")) > 0.5, "code")
+        .when(F.contains(text, F.lit("PRIVATE KEY-----")) | F.contains(text, F.lit("\0")) | (F.regexp_count(text, F.lit("�")) / n > 0.02), "binary")
+        .when(text.rlike(r"\A\s*#!"), "code")
+        .when(F.size(lines) == 0, "document")
+        .when(F.regexp_count(text, F.lit("[\u3040-\u30ff\u4e00-\u9fff]")) / n > 0.1, "document")
+        .when(share(lambda x: x.rlike(r"^\s*[A-Za-z_][A-Za-z0-9_.-]*\s*[:=]\s*\S")) > 0.5, "code")
         .when(F.regexp_count(text, F.lit(r"[{}();<>\[\]]")) / n > 0.02, "code")
-        .when(share(lambda x: x.rlike(r"^\s*(#|//|--|\*)")) > 0.3, "code")
+        .when(share(lambda x: x.rlike(r"^\s*(#|//|--|\*|/\*)")) > 0.3, "code")
         .otherwise("document")
     )

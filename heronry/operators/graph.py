@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.functions.scalars import parts, tree_distance
+from heronry.functions.scalars import ancestors, parts
 from heronry.session import materialise
 
 
 def nearest(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """Resolve refs (ref_id, path, kind, name) to defs (def_id, path, kind, name).
 
-    Of definitions below the same top folder the nearest by tree distance is taken;
-    equal ones are ambiguous, ones elsewhere only are cross_scope, else unresolved.
+    Of definitions below the same top folder (files at the root are of one folder) the nearest
+    by steps in the tree is taken; equal ones are ambiguous, ones elsewhere only are cross_scope, else
+    unresolved. Both sides meet by (kind, name, folder above), where definitions are aggregated to
+    the least depth, how many have it and the smallest of them, so no pair of a reference and a definition is made.
     """
-    top = lambda c: F.element_at(parts(c), 1)
-    d = defs.select("kind", "name", "def_id", F.col("path").alias("dpath"))
-    both = refs.join(d, ["kind", "name"], "left").withColumn("same", top(F.col("dpath")) == top(F.col("path")))
-    both = both.withColumn("dist", F.when(F.col("same"), tree_distance(F.col("path"), F.col("dpath"))))
-    least = F.min("dist").over(Window.partitionBy("ref_id"))
-    best = (F.col("dist") == F.col("least")) & F.col("same")
-    g = both.withColumn("least", least).groupBy("ref_id").agg(F.count(F.when(best, 1)).alias("n"), F.min(F.when(best, F.col("def_id"))).alias("d"), F.count("def_id").alias("all"))
-    status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("all") > 0, "cross_scope").otherwise("unresolved")
-    return g.select("ref_id", F.when(F.col("n") == 1, F.col("d")).alias("def_id"), status.alias("status"))
+
+    def above(df: DataFrame) -> DataFrame:
+        folders = F.when(F.contains("path", F.lit("/")), ancestors(F.col("path"))).otherwise(F.array(F.lit("/")))
+        return df.withColumn("depth", F.size(parts(F.col("path")))).withColumn("folder", F.explode(folders))
+
+    key = ["kind", "name", "folder"]
+    per = above(defs).groupBy(*key, "depth").agg(F.count(F.lit(1)).alias("n"), F.min("def_id").alias("d"))
+    per = per.groupBy(*key).agg(F.min(F.struct("depth", "n", "d")).alias("best"))
+    level = F.when(F.col("folder") == "/", 0).otherwise(F.size(parts(F.col("folder"))))
+    met = above(refs).join(per, key, "left").withColumn("dist", F.col("depth") + F.col("best.depth") - 2 * level)
+    # of the folders that refs and definitions share, those at the least distance hold exactly the nearest definitions
+    at = met.groupBy("ref_id", "kind", "name", "dist").agg(F.sum("best.n").alias("n"), F.min("best.d").alias("d"))
+    near = at.groupBy("ref_id", "kind", "name").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "n", "d"))).alias("m"))
+    some = defs.select("kind", "name").distinct().withColumn("any", F.lit(True))
+    n = F.coalesce(F.col("m.n"), F.lit(0))
+    status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").when(F.col("any"), "cross_scope").otherwise("unresolved")
+    return near.join(some, ["kind", "name"], "left").select("ref_id", F.when(n == 1, F.col("m.d")).alias("def_id"), status.alias("status"))
 
 
 def impact(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool = True) -> tuple[DataFrame, bool]:
@@ -73,5 +83,10 @@ def cycles(edges: DataFrame, depth: int = 20) -> DataFrame:
 
 def merge_edges(edges: DataFrame, most: int = 20) -> DataFrame:
     """One edge per (src, type, dst): best-ranked evidence first, sources distinct, sorted, capped with the overflow's size."""
-    g = edges.groupBy("src", "type", "dst").agg(F.min_by("via", F.struct("rank", "line", "via")).alias("via"), F.array_sort(F.collect_set("line")).alias("all"))
-    return g.select("src", "type", "dst", "via", F.slice("all", 1, most).alias("lines"), F.greatest(F.size("all") - most, F.lit(0)).alias("overflow"))
+    key = ["src", "type", "dst"]
+    each = edges.groupBy(*key, "line").agg(F.min(F.struct("rank", "line", "via")).alias("best"))
+    w = Window.partitionBy(*key)
+    each = each.withColumn("nth", F.row_number().over(w.orderBy("line")))
+    kept = F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.col("line"))))  # most at most
+    g = each.groupBy(*key).agg(F.min("best").alias("best"), kept.alias("lines"), F.count(F.lit(1)).alias("n"))
+    return g.select(*key, F.col("best.via").alias("via"), "lines", F.greatest(F.col("n") - most, F.lit(0)).cast("int").alias("overflow"))

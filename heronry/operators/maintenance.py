@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +23,31 @@ def signature(df: DataFrame, group: list[str], key: str, *by: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, name: str, generation: str) -> str:
-    """Write a new generation, then move the pointer to it; readers see the old or the new one."""
+    """Write a new generation, then add a pointer to it; readers see the old or the new one.
+
+    Pointers are rows of a table that only grows, each with a number one above the last; no
+    moment is without one, and a write that fails leaves the old one in force.
+    """
     spark = df.sparkSession
-    path = f"{root}/{name}-g{generation}"
-    df.write.mode("overwrite").parquet(path)
-    pointer = spark.createDataFrame([(json.dumps({"name": name, "path": path}),)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{root}/{name}-current")
+    path, pointers = f"{root}/{name}-g{generation}", f"{root}/{name}-pointers"
+    df.write.parquet(path)
+    before = _pointers(spark, pointers)
+    number = 0 if before is None else (before.agg(F.max("number")).first()[0] or 0)
+    spark.createDataFrame([(number + 1, path)], "number long, path string").coalesce(1).write.mode("append").parquet(pointers)
     return path
 
 
+def _pointers(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("number long, path string").parquet(folder)
+    except AnalysisException:
+        return None
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The published generation."""
-    return spark.read.parquet(json.loads(spark.read.text(f"{root}/{name}-current").first()[0])["path"])
+    found = _pointers(spark, f"{root}/{name}-pointers")
+    return spark.read.parquet(found.agg(F.max_by("path", "number")).first()[0])
 
 
 def missing(left: DataFrame, have: DataFrame, key: str) -> DataFrame:

@@ -28,15 +28,22 @@ def heatmap(events: DataFrame) -> DataFrame:
     return events.groupBy((F.dayofweek("ts") - 1).alias("dow"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _hashes(body):
+    """What an entry notes: the hash of its predecessor's content, and of that with its own."""
+    prev = F.coalesce(F.lag(F.sha2(body, 256)).over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(""))
+    return prev, F.sha2(F.concat(prev, body), 256)
+
+
 def chain(events: DataFrame) -> DataFrame:
     """Entries with the hash of their predecessor's content and their own."""
     body = F.concat_ws("|", "event_id", "user_id", "event_type")
-    prev = F.lag(F.sha2(body, 256)).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return events.select("user_id", "event_id", F.coalesce(prev, F.lit("")).alias("prev_hash"), F.sha2(F.concat(F.coalesce(prev, F.lit("")), body), 256).alias("entry_hash"))
+    prev, own = _hashes(body)
+    return events.select("user_id", "event_id", prev.alias("prev_hash"), own.alias("entry_hash"))
 
 
 def verify_chain(entries: DataFrame) -> DataFrame:
-    """First entry of each chain whose predecessor's hash isn't the one noted."""
-    before = F.lag("content_hash").over(Window.partitionBy("user_id").orderBy("event_id"))
-    bad = entries.withColumn("ok", F.coalesce(before, F.lit("")) == F.col("prev_hash"))
+    """First entry of each chain (user_id, event_id, event_type, prev_hash, entry_hash) whose hashes aren't those of the rows."""
+    prev, own = _hashes(F.concat_ws("|", "event_id", "user_id", "event_type"))
+    bad = entries.withColumn("__prev", prev).withColumn("__own", own)
+    bad = bad.withColumn("ok", F.col("prev_hash").eqNullSafe(F.col("__prev")) & F.col("entry_hash").eqNullSafe(F.col("__own")))
     return bad.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("ok"), F.col("event_id"))).alias("broken_at"))

@@ -83,9 +83,9 @@ def list_docs(spark, sf_dir):  # F11, T08
     return m.select("doc_id", "path").orderBy("path").offset(10).limit(20).join(F.broadcast(total))
 
 
-@query("glob_search", f"WITH {FILES_SQL} SELECT doc_id, path FROM files WHERE regexp_matches(path, '^src[12]/[^/]+/d[0-3]/f[^/]*\\.md$')")
+@query("glob_search", f"WITH {FILES_SQL} SELECT doc_id, path FROM files WHERE regexp_matches(path, '^src1[^/]*/[^/]+/d[0-3]/f[^/]*\\.md$')")
 def glob_search(spark, sf_dir):  # F12
-    return files(spark, sf_dir).filter(F.lower("path").rlike(S.glob_regex("src[12]/*/d[0-3]/f*.md"))).select("doc_id", "path")
+    return files(spark, sf_dir).filter(F.lower("path").rlike(S.glob_regex("src1*/*/d[0-3]/f*.md"))).select("doc_id", "path")
 
 
 @query("glob_any_depth", f"WITH {FILES_SQL} SELECT doc_id FROM files WHERE regexp_matches(path, '/f[^/]\\.[^/]*$')")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions import scalars as S
 from heronry.operators import search, text
-from heronry.plans.base import Registry
+from heronry.plans.base import FILES_SQL, Registry, files
 from heronry.session import table
 
 query = Registry()
@@ -39,9 +39,18 @@ def chunk_40_lines(spark, sf_dir):  # X14
     return text.chunks(table(spark, sf_dir, "documents")).select("doc_id", "line", F.md5("body").alias("hash"))
 
 
-@query("outline", f"""WITH {LINES} SELECT doc_id, line::INT AS line, len(regexp_extract(txt, '^(#+)', 1))::INT AS level, regexp_extract(txt, '^#{{1,3}}\\s+(.+)', 1)[1:300] AS title FROM l WHERE regexp_matches(txt, '^#{{1,3}}\\s+.+')""")
+#: Documents with headings of three levels.
+MD = "'# All of ' || source || chr(10) || 'begin ' || doc_id || chr(10) || '## Part ' || (doc_id % 7) || chr(10) || text || chr(10) || '###' || chr(10) || '### End, License'"
+MD_LINES = f"l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS txt, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM (SELECT doc_id, {MD} AS t FROM documents))"
+
+
+def markdown(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(MD).alias("text"))
+
+
+@query("outline", f"""WITH {MD_LINES} SELECT doc_id, line::INT AS line, len(regexp_extract(txt, '^(#+)', 1))::INT AS level, regexp_extract(txt, '^#{{1,3}}\\s+(.+)', 1)[1:300] AS title FROM l WHERE regexp_matches(txt, '^#{{1,3}}\\s+.+')""")
 def outline(spark, sf_dir):  # X11
-    return text.outline(table(spark, sf_dir, "documents"))
+    return text.outline(markdown(spark, sf_dir))
 
 
 @query("bm25", f"WITH {BM25} SELECT * FROM b")
@@ -80,22 +89,22 @@ def mean_pool(spark, sf_dir):  # V02
     return m.select("label", "i", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label"))), 5).alias("x"))
 
 
-@query("mention_join", """WITH d AS (SELECT name, min(cid) AS cid FROM (SELECT unnest(string_split(p_name, ' ')) AS name, p_partkey AS cid FROM part UNION ALL SELECT t, -1 FROM (VALUES ('Licensed'), ('License')) v(t)) GROUP BY name HAVING count(*) = 1),
-w AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS name FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_#@$-]+') AS x FROM documents)),
-f AS (SELECT doc_id, name, min(pos) AS pos FROM w WHERE len(name) >= 4 GROUP BY ALL)
-SELECT doc_id, name, cid, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS nth, greatest(count(*) OVER (PARTITION BY doc_id) - 200, 0) AS overflow FROM f JOIN d USING (name)""")
+@query("mention_join", f"""WITH {FILES_SQL}, n AS (SELECT unnest(string_split(p_name, ' ')) AS name, p_partkey AS cid, 'src' || (p_partkey % 20) || '/lib/p.cbl' AS path FROM part UNION ALL SELECT name, cid, source || path FROM (VALUES ('Licensed', -1, '/a.cbl'), ('Licensed', -2, '/x/b.cbl'), ('under', -1, '/a.cbl'), ('Apache', -3, '.cbl')) v(name, cid, path), (SELECT DISTINCT source FROM documents WHERE source <> 'src3')),
+d AS (SELECT DISTINCT name, cid, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) END AS top FROM n),
+w AS (SELECT doc_id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) END AS top, generate_subscripts(x, 1) AS pos, unnest(x) AS name FROM (SELECT doc_id, path, regexp_extract_all(text, '[A-Za-z0-9_#@$-]+') AS x FROM files)),
+f AS (SELECT doc_id, cid, min(pos) AS pos, arg_min(w.name, pos) AS name FROM w JOIN d ON w.name = d.name AND w.top IS NOT DISTINCT FROM d.top WHERE len(w.name) >= 4 GROUP BY ALL),
+r AS (SELECT doc_id, name, cid, row_number() OVER (PARTITION BY doc_id ORDER BY pos, cid)::INT AS nth, greatest(count(*) OVER (PARTITION BY doc_id) - 200, 0) AS overflow FROM f) SELECT * FROM r WHERE nth <= 200""")
 def mention_join(spark, sf_dir):  # J09, J24
-    p = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("name"), F.col("p_partkey").alias("cid"))
-    own = spark.createDataFrame([("Licensed", -1), ("License", -1)], "name string, cid long")
-    return text.mentions(table(spark, sf_dir, "documents"), p.union(own))
+    p = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("name"), F.col("p_partkey").alias("cid"), F.concat(F.lit("src"), F.col("p_partkey") % 20, F.lit("/lib/p.cbl")).alias("path"))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).cast("long").alias("cid"), F.concat("source", F.lit(x)).alias("path")) for n, c, x in (("Licensed", -1, "/a.cbl"), ("Licensed", -2, "/x/b.cbl"), ("under", -1, "/a.cbl"), ("Apache", -3, ".cbl"))])
+    own = table(spark, sf_dir, "documents").filter("source <> 'src3'").select("source").distinct().select(F.inline(names))
+    return text.mentions(files(spark, sf_dir), p.union(own))
 
 
-@query("locate_with_heading", f"""WITH {LINES}, m AS (SELECT doc_id, line, txt, last_value(CASE WHEN regexp_matches(txt, '^[A-Z]') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS heading FROM l)
-SELECT doc_id, line::INT AS line, heading::INT AS heading FROM m WHERE contains(txt, 'icense')""")
-def locate_with_heading(spark, sf_dir):  # J10: as-of join to the last heading
-    w = Window.partitionBy("doc_id").orderBy("line")
-    m = text.lines(table(spark, sf_dir, "documents"), "doc_id").withColumn("heading", F.last(F.when(F.col("txt").rlike("^[A-Z]"), F.col("line")), ignorenulls=True).over(w))
-    return m.filter(F.contains("txt", F.lit("icense"))).select("doc_id", "line", "heading")
+@query("locate_with_heading", f"""WITH {MD_LINES}, m AS (SELECT doc_id, line, txt, last_value(CASE WHEN starts_with(txt, '#') AND trim(ltrim(txt, '#')) <> '' THEN {{'a': line, 'b': trim(ltrim(txt, '#'))}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS h FROM l)
+SELECT doc_id, line::INT AS line, h.a::INT AS heading, h.b AS title FROM m WHERE contains(txt, 'icense')""")
+def locate_with_heading(spark, sf_dir):  # J10
+    return text.headed(markdown(spark, sf_dir), "icense")
 
 
 @query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
@@ -111,12 +120,10 @@ def conversation_search(spark, sf_dir):  # X09, W07
     return c.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by(F.substr("text", first, at + 62 - first + 1), "turn").alias("snippet"))
 
 
-@query("exact_identifiers", "SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(text, 'AKIA[A-Z0-9]+|[0-9a-f]{16,}'), (SELECT list(x) FROM (SELECT unnest(regexp_extract_all(text, 'AKIA[A-Z0-9]+')) AS x FROM documents ORDER BY x LIMIT 20)))")
-def exact_identifiers(spark, sf_dir):  # F16
-    d = table(spark, sf_dir, "documents")
-    wanted = d.select(F.explode(F.regexp_extract_all("text", F.lit("(AKIA[A-Z0-9]+)"), 1)).alias("x")).orderBy("x").limit(20)
-    ids = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(AKIA[A-Z0-9]+|[0-9a-f]{16,})"), 1)).alias("x"))
-    return ids.join(wanted, "x", "left_semi").select("doc_id").distinct()
+@query("exact_identifiers", "SELECT doc_id FROM documents WHERE doc_id % 97 IN (0, 7, 14, 21, 28)")
+def exact_identifiers(spark, sf_dir):  # F16: ID-7 isn't found in ID-70
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ID-"), F.col("doc_id") % 97).alias("text"))
+    return text.with_identifiers(d, r"ID-[0-9]+", ["ID-0", "ID-7", "ID-14", "ID-21", "ID-28"])
 
 
 @query("redact", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, 'AKIA[A-Z0-9]{12,}', '[redacted]', 'g'), '(?i)(password|passwd|secret|token)( *[:=] *)[^\\s]+', '\\1\\2[redacted]', 'g')) AS hash FROM documents")
@@ -124,9 +131,15 @@ def redact(spark, sf_dir):  # F17, C13
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.redact(F.col("text"))).alias("hash"))
 
 
-@query("content_sniff", """WITH d AS (SELECT doc_id, text, greatest(len(text), 1) AS n, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
-SELECT doc_id, CASE WHEN len(text) = 0 THEN 'document' WHEN contains(text, 'PRIVATE KEY-----') THEN 'binary' WHEN starts_with(text, '#!') THEN 'code'
-WHEN len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[A-Za-z0-9_.-]+\\s*[:=]\\s*\\S+\\s*$'))) / greatest(len(ls), 1) > 0.5 THEN 'code'
-WHEN len(regexp_extract_all(text, '[{}();<>\\[\\]]')) / n > 0.02 THEN 'code' WHEN len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(#|//|--|\\*)'))) / greatest(len(ls), 1) > 0.3 THEN 'code' ELSE 'document' END AS kind FROM d""")
+#: One text a rule, by doc_id.
+SNIFFED = """CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'x' || chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || text WHEN 2 THEN '  ' || chr(10) || ' #!/bin/sh' || chr(10) || text
+WHEN 3 THEN 'key: two words' || chr(10) || 'b.c=' || doc_id || chr(10) || '9x: no key' || chr(10) || chr(10) WHEN 4 THEN '日本語の文書です、' || substring(text, 1, 40) WHEN 5 THEN 'int f(){return g[' || doc_id || '];}'
+WHEN 6 THEN '/* note' || chr(10) || '-- more' || chr(10) || 'plain ' || doc_id WHEN 7 THEN '  ' || chr(10) || '   ' ELSE text END"""
+
+
+@query("content_sniff", f"""WITH d AS (SELECT doc_id, {SNIFFED} AS text FROM documents), e AS (SELECT *, greatest(len(text), 1) AS n, list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]'), lambda x: regexp_matches(x, '\\S')) AS ls FROM d)
+SELECT doc_id, CASE WHEN text = '' THEN 'document' WHEN contains(text, 'PRIVATE KEY-----') THEN 'binary' WHEN len(regexp_extract_all(text, '�')) / n > 0.02 THEN 'binary' WHEN starts_with(ltrim(text, ' ' || chr(9) || chr(10) || chr(13)), '#!') THEN 'code' WHEN len(ls) = 0 THEN 'document'
+WHEN len(regexp_extract_all(text, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]')) / n > 0.1 THEN 'document' WHEN len(list_filter(ls, lambda x: regexp_matches(trim(x), '^[A-Za-z_][A-Za-z0-9_.-]*\\s*[:=]\\s*\\S'))) / len(ls) > 0.5 THEN 'code'
+WHEN len(regexp_extract_all(text, '[{{}}();<>\\[\\]]')) / n > 0.02 THEN 'code' WHEN len(list_filter(ls, lambda x: starts_with(trim(x), '//') OR starts_with(trim(x), '#') OR starts_with(trim(x), '/*') OR starts_with(trim(x), '--') OR starts_with(trim(x), '*'))) / len(ls) > 0.3 THEN 'code' ELSE 'document' END AS kind FROM e""")
 def content_sniff(spark, sf_dir):  # S06
-    return table(spark, sf_dir, "documents").select("doc_id", S.sniff(F.col("text")).alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.sniff(F.expr(SNIFFED)).alias("kind"))

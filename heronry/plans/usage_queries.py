@@ -90,8 +90,16 @@ def as_of(spark, sf_dir):  # J15, W02: the last view at or before each purchase
 
 @query("latest_per_group", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def latest_per_group(spark, sf_dir):  # W06, J25, M19
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).filter("k = 1").select("user_id", "event_type", "ts")
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+
+
+@query("chain_verified", """WITH b AS (SELECT user_id, event_id, concat_ws('|', event_id, user_id, event_type) AS body, event_id % 997 = 5 AS edited FROM events), p AS (SELECT *, lag(edited) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM b)
+SELECT user_id, count(*) AS n, min(CASE WHEN edited OR before THEN event_id END) AS broken_at FROM p GROUP BY user_id""")
+def chain_verified(spark, sf_dir):  # W04: rows edited after their hashes were taken
+    e = table(spark, sf_dir, "events")
+    rows = e.select("user_id", "event_id", F.when(F.col("event_id") % 997 == 5, "edited").otherwise(F.col("event_type")).alias("event_type"))
+    return usage.verify_chain(rows.join(usage.chain(e), ["user_id", "event_id"]))
 
 
 @query("chain_entries", """WITH b AS (SELECT user_id, event_id, concat_ws('|', event_id, user_id, event_type) AS body FROM events), p AS (SELECT *, coalesce(lag(sha256(body)) OVER (PARTITION BY user_id ORDER BY event_id), '') AS prev_hash FROM b) SELECT user_id, event_id, prev_hash, sha256(prev_hash || body) AS entry_hash FROM p""")

@@ -1,9 +1,10 @@
 """Operators without a query: publishing, streams, chains, nearest resolution's rules."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from heronry.functions import scalars as S
-from heronry.operators import graph, maintenance, search, usage
+from heronry.operators import graph, maintenance, search, text, usage
 from heronry.streaming import events as stream
 
 
@@ -12,6 +13,9 @@ def test_publish_moves_the_pointer(spark, tmp_path):
     maintenance.publish(spark.range(3), root, "t", "1")
     maintenance.publish(spark.range(5), root, "t", "2")
     assert maintenance.current(spark, root, "t").count() == 5
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        maintenance.publish(spark.range(9), root, "t", "2")
+    assert maintenance.current(spark, root, "t").count() == 5  # a failed write leaves the old one
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):
@@ -38,9 +42,50 @@ def test_impact_reports_what_lies_beyond(spark):
 
 
 def test_chain_break(spark):
-    rows = [("u", 1, "", "h1"), ("u", 2, "h1", "h2"), ("u", 3, "bad", "h3"), ("v", 1, "", "k")]
-    got = {r.user_id: r.broken_at for r in usage.verify_chain(spark.createDataFrame(rows, "user_id string, event_id int, prev_hash string, content_hash string")).collect()}
-    assert got == {"u": 3, "v": None}
+    rows = [("u", 1, "a"), ("u", 2, "b"), ("u", 3, "c"), ("v", 1, "a"), ("w", 1, "a"), ("w", 2, "x")]
+    d = spark.createDataFrame(rows, "user_id string, event_id int, event_type string")
+    entries = d.join(usage.chain(d), ["user_id", "event_id"])
+    edited = entries.withColumn("event_type", F.when((F.col("user_id") == "u") & (F.col("event_id") == 2), "edited").otherwise(F.col("event_type")))
+    edited = edited.withColumn("prev_hash", F.when(F.col("event_type") == "x", "bad").otherwise(F.col("prev_hash")))
+    assert {r.user_id: r.broken_at for r in usage.verify_chain(edited).collect()} == {"u": 2, "v": None, "w": 2}
+    assert {r.broken_at for r in usage.verify_chain(entries).collect()} == {None}
+
+
+def test_sniff_rules(spark):
+    texts = {"": "document", "a\0b": "binary", "\ufffd" * 3 + "x" * 100: "binary", "x" * 1000 + "\ufffd": "document", " \n#!/bin/sh": "code", "-----BEGIN PRIVATE KEY-----": "binary", "key: two words\nb = 1": "code", "9a: x\n8b: y": "document", " \n\t": "document"}
+    texts |= {"項目: 値\n名前: 山田": "document", "/* a\n* b\nc": "code", "f(){}": "code", "a\r\n# b\r\n": "code"}
+    d = spark.createDataFrame(list(texts.items()), "text string, want string").select("text", "want", S.sniff(F.col("text")).alias("got"))
+    assert [r for r in d.collect() if r.want != r.got] == []
+
+
+def test_secret_names_and_classes(spark):
+    names = ["a/.netrc", ".npmrc", "x/.git-credentials", ".env.local", "ID_RSA.pub", "Credentials.xlsx", "k.PEM", "b.env", "my_credentials.txt", "environment.md"]
+    d = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [r[0] for r in d.select(S.is_secret_name(F.col("p"))).collect()] == [True] * 8 + [False] * 2
+    kinds = {"a.ts": "code", "a.TOML": "code", "a.log": "document", "a.tsv": "document", "a.bin": None}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in kinds], "p string").select("p", S.file_class(F.col("p"))).collect()} == kinds
+
+
+def test_clip_bytes(spark):
+    text = "aé日😀z"
+    d = spark.createDataFrame([(text, n) for n in range(13)], "t string, n int")
+    for n in range(13):
+        want = text.encode()[:n].decode(errors="ignore")
+        assert d.limit(1).select(S.clip_bytes(F.lit(text), n)).first()[0] == want
+
+
+def test_mentions_of_one_folder_only(spark):
+    docs = spark.createDataFrame([(1, "a/d.md", "use PAYROLL and PAYROLL or BILLING"), (2, "root.md", "PAYROLL"), (3, "b/d.md", "PAYROLL abc")], "doc_id long, path string, text string")
+    names = spark.createDataFrame([("PAYROLL", 10, "a/p.cbl"), ("PAYROLL", 11, "a/x/p.cbl"), ("BILLING", 12, "a/b.cbl"), ("PAYROLL", 13, "r.cbl"), ("abc", 14, "b/c.cbl"), ("BILLING", 10, "a/p.cbl")], "name string, cid long, path string")
+    got = sorted(tuple(r) for r in text.mentions(docs, names, most=2).collect())
+    assert got == [(1, "PAYROLL", 10, 1, 1), (1, "PAYROLL", 11, 2, 1), (2, "PAYROLL", 13, 1, 0)]
+
+
+def test_root_files_are_of_one_folder(spark):
+    defs = spark.createDataFrame([(1, "x.cbl", "k", "n"), (2, "a/x.cbl", "k", "n"), (3, "a/b/y.cbl", "k", "m"), (4, "a/z.cbl", "k", "m")], "def_id long, path string, kind string, name string")
+    refs = spark.createDataFrame([(1, "y.cbl", "k", "n"), (2, "a/q/y.cbl", "k", "n"), (3, "y.cbl", "k", "m"), (4, "a/b/c/d.cbl", "k", "m")], "ref_id long, path string, kind string, name string")
+    got = {r.ref_id: (r.def_id, r.status) for r in graph.nearest(refs, defs).collect()}
+    assert got == {1: (1, "resolved"), 2: (2, "resolved"), 3: (None, "cross_scope"), 4: (3, "resolved")}
 
 
 def test_rrf_ties_go_by_key(spark):
