@@ -191,3 +191,62 @@ def sniff(text: Column) -> Column:
         .when(share(lambda x: x.rlike(r"^\s*(#|//|--|\*|/\*)")) > 0.3, "code")
         .otherwise("document")
     )
+
+
+def non_negative(c: Column, default: int | None = 0) -> Column:
+    """Text of a whole number from 0 up as a long; anything else, signs and true or false included, is the default."""
+    return F.when(c.rlike(r"\A[0-9]{1,18}\z"), c.try_cast("long")).otherwise(F.lit(default).cast("long"))
+
+
+def plain_number(c: Column) -> Column:
+    """A number as text: without a fraction if it is whole."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+
+
+#: Kinds of evidence, the best first.
+VIA_ORDER = (
+    "bean_class", "mapper_type", "mapper_namespace", "action_class", "config_key", "config_value",
+    "cics_xctl", "cics_link",
+    "call", "extends", "implements", "inject", "field_type", "include", "import", "copy", "exec_sql",
+    "vba_sql", "mapper_sql", "exec_proc", "include_member",
+    "write_file", "read_file", "use",
+)
+
+
+def via_rank(c: Column) -> Column:
+    """Place in the order of evidence from 0; unknown ones and null come last."""
+    at = F.array_position(F.array(*[F.lit(v) for v in VIA_ORDER]), c)
+    return F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(len(VIA_ORDER)).cast("int")
+
+
+def column_letters(c: Column) -> Column:
+    """1 is A, 26 is Z, 27 is AA; up to three letters, as sheets have."""
+    letter = lambda n: F.char(n % 26 + 65)
+    two, three = c - 27, c - 703
+    return (
+        F.when(c <= 26, letter(c - 1))
+        .when(c <= 702, F.concat(letter(F.floor(two / 26)), letter(two)))
+        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
+    )
+
+
+def column_number(letters: Column) -> Column:
+    """The inverse, of upper-case letters."""
+    return F.aggregate(F.split(letters, ""), F.lit(0), lambda s, x: s * 26 + F.ascii(x) - 64)
+
+
+def narrowed(scopes: Column, prefix: Column) -> Column:
+    """Scopes within a folder: (scopes, error). It never widens; a folder outside, absolute or with .. is an error."""
+    raw = F.trim(F.coalesce(prefix, F.lit("")))
+    inner = F.trim(raw, F.lit("/"))
+    below = lambda a, b: (a == b) | F.startswith(a, F.concat(b, F.lit("/")))
+    bad = F.startswith(raw, F.lit("/")) | F.contains(raw, F.lit("\\")) | F.array_contains(F.split(inner, "/"), "..") | (inner == "")
+    kept = F.filter(scopes, lambda s: F.startswith(s, F.concat(inner, F.lit("/"))))
+    state = lambda s, e: F.struct(s.alias("scopes"), F.lit(e).cast("string").alias("error"))
+    return (
+        F.when(raw == "", state(scopes, None))
+        .when(bad, state(scopes, "not a folder"))
+        .when((F.size(scopes) == 0) | F.exists(scopes, lambda s: below(inner, s)), state(F.array(inner), None))
+        .when(F.size(kept) > 0, state(kept, None))
+        .otherwise(state(scopes, "outside"))
+    )
