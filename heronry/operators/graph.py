@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.scalars import ancestors, parts
-from heronry.session import materialise
+from heronry.session import Scratch
 
 
 def nearest(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -43,20 +45,20 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool =
     a written table; the visited set is an anti join, never a list on the driver.
     """
     e = edges.select(F.col("dst").alias("from"), F.col("src").alias("id")) if reverse else edges.select(F.col("src").alias("from"), F.col("dst").alias("id"))
-    e = e.distinct()
-    seen = materialise(starts.select("id").distinct().select("id", F.lit(0).alias("level"), F.lit(None).cast(starts.schema["id"].dataType).alias("parent")), "impact")
-    front, levels = seen, [seen]
-    for level in range(1, depth + 2):
-        step = front.select(F.col("id").alias("from")).join(e, "from").groupBy("id").agg(F.min("from").alias("parent"))
-        new = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level"), "parent")
-        if level > depth:
-            return seen, new.limit(1).count() > 0
-        front = materialise(new, "impact")
-        if not front.limit(1).count():
-            break
-        levels.append(front)
-        seen = seen.unionByName(front)
-    return seen, False
+    with Scratch(edges.sparkSession, "impact") as s:
+        e = s.save(e.distinct(), "edges")
+        none = F.lit(None).cast(starts.schema["id"].dataType)
+        seen = front = s.keep(starts.select("id").distinct().select("id", F.lit(0).alias("level"), none.alias("parent")), "level")
+        for level in range(1, depth + 2):
+            step = front.select(F.col("id").alias("from")).join(e, "from").groupBy("id").agg(F.min("from").alias("parent"))
+            new = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level"), "parent")
+            if level > depth:
+                return seen, not new.isEmpty()
+            front = s.keep(new, "level")
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+        return seen, False
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -66,19 +68,75 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found.select("id", "level")
 
 
-def cycles(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """Strongly connected groups of two or more: (id, group), the group's smallest id."""
-    reach = materialise(edges.select("src", "dst").distinct(), "reach")
-    count = reach.count()
-    for _ in range(depth):
-        far = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = materialise(reach.union(far).distinct(), "reach")
-        now = reach.count()
-        if now == count:
-            break
-        count = now
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).filter("src <> dst")
-    return mutual.groupBy(F.col("src").alias("id")).agg(F.least("id", F.min("dst")).alias("group"))
+def _fixed(s: Scratch, first: DataFrame, step, changed, name: str, hops: int = 4) -> DataFrame:
+    """``step(table)`` until ``changed(new, old)`` is false; every ``hops`` steps make a written table."""
+    at = first
+    while True:
+        new = at
+        for _ in range(hops):
+            new = step(new)
+        new = s.save(new, name)
+        if not changed(new, at):
+            return new
+        if at is not first:
+            s.drop(at)
+        at = new
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Strongly connected groups of two or more: (id, group), the group's smallest id.
+
+    Edges that no cycle can hold are trimmed. Then every node learns the smallest id that reaches it, and of
+    those with one such id the nodes that reach it back are its group. Groups leave, and the rest goes
+    round again. Only nodes and edges are kept, never pairs of what reaches what.
+    """
+    groups = []
+    with Scratch(edges.sparkSession, "cycles") as s:
+        e = s.save(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+
+        def trim(at):
+            kept = at.join(at.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            return kept.join(at.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+
+        while True:
+            e = _fixed(s, e, trim, lambda new, old: new.count() < old.count(), "trimmed")
+            if e.isEmpty():
+                break
+            ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+
+            def forward(at, e=e):
+                seen = e.join(at.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("other"))
+                return at.join(seen, "id", "left").select("id", F.least("least", "other").alias("least"))
+
+            def lower(new, old):
+                return not new.join(old.withColumnRenamed("least", "was"), "id").filter("least < was").isEmpty()
+
+            least = _fixed(s, s.save(ids.withColumn("least", F.col("id")), "least"), forward, lower, "least")
+            of = lambda c: least.select(F.col("id").alias(c), F.col("least").alias(f"of_{c}"))
+            inside = s.save(e.join(of("src"), "src").join(of("dst"), "dst").filter("of_src = of_dst"), "inside")
+
+            def backward(at, inside=inside):
+                more = inside.join(at.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.col("of_src").alias("group"))
+                return at.union(more).distinct()
+
+            roots = s.save(least.filter("id = least").select("id", F.col("least").alias("group")), "roots")
+            found = _fixed(s, roots, backward, lambda new, old: new.count() > old.count(), "back")
+            groups.append(s.keep(found, "group"))
+            rest = e.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+            e = s.save(rest, "edges")
+    if not groups:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("group")).limit(0)
+    every = reduce(DataFrame.unionByName, groups)
+    large = every.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    return every.join(large, "group").select("id", "group")
+
+
+def nearest_keyed(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """As ``nearest`` for defs that also say whether they are a definition (column definition): those go before declarations below the same top folder."""
+    first, every = nearest(refs, defs.filter("definition")), nearest(refs, defs)
+    other = every.select("ref_id", F.col("def_id").alias("d"), F.col("status").alias("s"))
+    own = F.col("status").isin("resolved", "ambiguous")
+    return first.join(other, "ref_id").select("ref_id", F.when(own, F.col("def_id")).otherwise(F.col("d")).alias("def_id"), F.when(own, F.col("status")).otherwise(F.col("s")).alias("status"))
 
 
 def merge_edges(edges: DataFrame, most: int = 20) -> DataFrame:

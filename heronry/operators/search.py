@@ -26,3 +26,11 @@ def rrf(hits: dict[str, DataFrame], weights: dict[str, float] | None = None, k:
     every = reduce(DataFrame.unionByName, ranked)
     out = every.groupBy("key").agg(F.round(F.sum("part"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
     return out.orderBy(F.desc("score"), "key").limit(k)
+
+
+def merged_hits(hits: DataFrame, most: int) -> DataFrame:
+    """(key, paths, judgement) of hits (key, path, judgement): the first ``most`` distinct paths and the best judgement; rows are cut before they are gathered."""
+    each = hits.groupBy("key", "path").agg(F.min("judgement").alias("judgement"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("path"))
+    paths = each.withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return paths.join(hits.groupBy("key").agg(F.min("judgement").alias("judgement")), "key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.operators import reports
+from heronry.operators import reports, search
 from heronry.plans.base import Registry
 from heronry.session import table
 
@@ -105,7 +105,8 @@ def logical_lines(spark, sf_dir):  # X04
 
 @query("merged_graph_hits", "SELECT l_partkey AS key, list_sort(list(DISTINCT l_orderkey))[1:5] AS paths, min(l_returnflag) AS judgement FROM lineitem GROUP BY 1")
 def merged_graph_hits(spark, sf_dir):  # X08
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.slice(F.array_sort(F.collect_set("l_orderkey")), 1, 5).alias("paths"), F.min("l_returnflag").alias("judgement"))
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("judgement"))
+    return search.merged_hits(hits, 5)
 
 
 @query("fallback_terms", "SELECT 'an' AS term, doc_id FROM documents WHERE contains(lower(text), 'an') AND NOT EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), 'qqxqqxqq'))")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heronry.functions import scalars as S
-from heronry.operators import graph, maintenance, search, text, usage
+from heronry.operators import build, graph, maintenance, search, text, usage
 from heronry.streaming import events as stream
 
 
@@ -94,6 +94,41 @@ def test_rrf_ties_go_by_key(spark):
     assert [(r.key, r.engines) for r in got] == [(1, "keyword,vector"), (2, "keyword,vector")]
 
 
+def test_cycles_of_random_graphs(spark):
+    import random
+
+    for seed in range(2):
+        rng = random.Random(seed)
+        pairs = {(rng.randrange(24), rng.randrange(24)) for _ in range(34)}
+        reach = {(a, b) for a, b in pairs}
+        while True:
+            more = {(a, d) for a, b in reach for c, d in reach if b == c} - reach
+            if not more:
+                break
+            reach |= more
+        want = {}
+        for v in range(24):
+            group = [u for u in range(24) if (u, v) in reach and (v, u) in reach] + [v]
+            if len(set(group)) > 1:
+                want[v] = min(group)
+        got = {r.id: r.group for r in graph.cycles(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+        assert got == want
+    assert graph.cycles(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).collect() == []
+
+
+def test_impact_of_says_what_it_lacks(spark):
+    files = [(1, "a/P.cbl", "       PROGRAM-ID. P.\n           CALL 'Q'.\n       COPY X."), (2, "a/Q.cbl", "       PROGRAM-ID. Q."), (3, "b/Q.cbl", "       PROGRAM-ID. R.\n           CALL 'Q'."), (4, "a/J.jcl", "//J JOB 1\n//S EXEC PGM=P")]
+    parts = build.build(spark.createDataFrame(files, "doc_id long, path string, text string"))
+    got, cover = build.impact_of(*parts, "q")
+    assert sorted((r.name, r.level) for r in got.collect()) == [("J", 2), ("P", 1), ("Q", 0)]
+    assert cover.first().limits == ["unresolved_names"] and cover.first().lost == 1  # b's call of Q is in another folder
+    assert build.impact_of(*parts, "q", 1)[1].first().limits == ["depth_truncated", "unresolved_names"]
+    assert build.impact_of(*parts, "nothing")[1].first().limits == ["no_start"]
+    # the evaluation notices a missing kind of edge
+    nodes, edges, flags = parts
+    assert build.impact_of(nodes, edges.filter("type <> 'INVOKES'"), flags, "q")[0].count() == 1
+
+
 def test_globs():
     import re
 
