@@ -141,17 +141,37 @@ class Templates:
         for (name, c), (_, v), order in zip(rows, self.rows, orders):
             n = sum(c.values())
             self.slide.append((name, v, n, marks(c) if n > 8 else frozenset(c), order))
-        plain = lambda w: re.sub("^licens", "licen[sc]", re.sub("^noderivatives$", "noderiv", w))  # noqa: E731  words() makes spellings one
         rare = lambda c: sorted((w for w in c if not _NUMBER.match(w)), key=lambda w: (df[w], -len(w), w))
         self.slide = [(name, v, n, need or frozenset(rare(v)[:2]), order) for name, v, n, need, order in self.slide]
-        rarest = {rare(need)[0] for *_, need, _ in self.slide}
-        self.cues = re.compile("|".join(("(?<![a-z])" if len(w) < 4 else "") + plain(w) for w in sorted(rarest)))
+        stem = lambda w: "licen" if w.startswith("licen") else "noderiv" if w == "noderivatives" else w  # noqa: E731  words() makes spellings one
+        self.stems = [[stem(w) for w in rare(need)] for *_, need, _ in self.slide]  # what a text must hold for each template, rarest first
+        self._cues: dict[frozenset, re.Pattern] = {}
         self.texts = []
         for f in sorted(TEXTS.glob("*.txt")):
             plain = [w for w, *_ in words(f.read_text("utf-8"))]
             version = next((i + 1 for i, w in enumerate(plain[:7]) if _NUMBER.match(w)), 2)
             self.texts.append((f.stem, self.vector(Counter(plain)), len(plain), f" {' '.join(plain[:version])} ", _CLAUSES & set(plain)))
 
+    def possible(self, low: str) -> list[int]:
+        """Numbers of the templates whose needed words all occur somewhere in a text."""
+        has: dict[str, bool] = {}
+
+        def holds(w: str) -> bool:
+            if w not in has:
+                has[w] = w in low
+            return has[w]
+
+        return [k for k, ws in enumerate(self.stems) if all(map(holds, ws))]
+
+    def cues(self, rows: list[int]) -> re.Pattern:
+        """Finds the rarest needed word of each of these templates."""
+        words = frozenset(self.stems[k][0] for k in rows)
+        if words not in self._cues:
+            if len(self._cues) > 4096:
+                self._cues.clear()
+            self._cues[words] = re.compile("|".join(("(?<![a-z])" if len(w) < 4 else "") + w for w in sorted(words)))
+        return self._cues[words]
+
     def vector(self, c: Counter) -> dict[str, float]:
         v = {w: n * self.idf.get(w, self.other) for w, n in c.items()}
         size = math.sqrt(sum(x * x for x in v.values())) or 1.0
@@ -162,11 +182,11 @@ class Templates:
         v = self.vector(terms(line))
         return max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.rows), key=lambda r: r[0], default=(0.0, ""))
 
-    def windows(self, part: list[str]) -> list[tuple[float, bool, int, int, str, float]]:
-        """(words by cosine, in order, first, after last, licence, cosine) of all windows that agree with a template."""
+    def windows(self, part: list[str], rows: list[int]) -> list[tuple[float, bool, int, int, str, float]]:
+        """(words by cosine, in order, first, after last, licence, cosine) of all windows that agree with one of the templates ``rows``."""
         have, out, norms = set(part), [], {}
         idf = [self.idf.get(w, self.other) for w in part]
-        for name, v, n, need, order in self.slide:
+        for name, v, n, need, order in map(self.slide.__getitem__, rows):
             if not need <= have or n > len(part):
                 continue
             if n not in norms:
@@ -215,7 +235,8 @@ _KNOWN = {name.lower(): name for name in TEMPLATES}
 def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
     """(start, end, licence, cosine) of a text's licence names, statements and headers, or of all of it."""
     low = re.sub("[A-Z]", lambda m: m.group().lower(), text) if not text.isascii() else text.lower()
-    if "spdx" not in low and not templates.cues.search(low):
+    rows = templates.possible(low)
+    if not rows and "spdx" not in low:
         return []
     got = words(text)
     plain = [w for w, *_ in got]
@@ -231,7 +252,7 @@ def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
     starts = [a for _, a, _ in got]
     reach = max(n for _, _, n, *_ in templates.slide)
     parts: list[list[int]] = []
-    for m in templates.cues.finditer(low):
+    for m in templates.cues(rows).finditer(low) if rows else ():
         at = bisect_left(starts, m.start() + 1) - 1
         a, b = max(0, at - reach), min(len(got), at + reach + 1)
         if parts and a <= parts[-1][1]:
@@ -239,7 +260,7 @@ def scan(text: str, templates: Templates) -> list[tuple[int, int, str, float]]:
         else:
             parts.append([a, b])
     taken = [(a, b) for a, b, *_ in out]
-    found = sorted((r[0], r[1], -(a + r[2]), a + r[3], r[4], r[5]) for a, b in parts for r in templates.windows(plain[a:b]))
+    found = sorted((r[0], r[1], -(a + r[2]), a + r[3], r[4], r[5]) for a, b in parts for r in templates.windows(plain[a:b], rows))
     for *_, first, last, name, cosine in reversed(found):
         a, b = got[-first][1], got[last - 1][2]
         if all(b <= x or y <= a for x, y in taken):
