@@ -78,7 +78,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for key, texts in sliced(b, 0, 1, CHARS):
                 con.register("texts", pa.table({"row": range(len(texts)), "lang": key.field("lang"), "source": key.field("source"), "text": texts}))
                 con.execute(SLICE_SQL)
-                if con.execute("SELECT count(*) FROM held").fetchone()[0] >= HELD:
+                if con.execute("SELECT count(*) FROM held").fetchall()[0][0] >= HELD:
                     yield from _batches(con, HELD_SQL)
                     con.execute("TRUNCATE held")
         yield from _batches(con, HELD_SQL)

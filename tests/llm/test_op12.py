@@ -34,6 +34,7 @@ def plain(docs):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(op, "HELD", 300)
+    monkeypatch.setattr(op, "CHARS", 3000)
     monkeypatch.setattr(op, "SHARD_BYTES", 3000)
     rng = random.Random(2)
     words = ["The", "the", "É", "日本", "a-b", "x1y"] + ["".join(rng.choices("abcdefgé", k=3)) for _ in range(700)]
