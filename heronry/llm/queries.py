@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op5_lm_score, op6_exact_dedup, op7_token_files, op8_near_dedup, op9_license, op10_mix, op12_divergence, op13_resample
+from heronry.llm import op1_secret_scan, op2_language, op3_bpe, op4_media, op5_lm_score, op6_exact_dedup, op7_token_files, op8_near_dedup, op9_license, op10_mix, op11_html, op12_divergence, op13_resample
 from heronry.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op6_exact_dedup_documents(spark, sf_dir):
     return op6_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=[]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_html_extract(spark, sf_dir):
+    return op11_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_source_divergence(spark, sf_dir):
     return op12_divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup_documents,
         "op9_license_scan": op9_license_documents,
         "op10_mix_sources": op10_mix_documents,
+        "op11_html_extract": op11_html_extract,
         "op12_source_divergence": op12_source_divergence,
         "op13_importance_resample": op13_importance_resample,
     }
