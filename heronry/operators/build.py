@@ -2,49 +2,131 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.functions.scalars import base_name, code_name, extension, top_folder
-from heronry.operators import graph, parsers
+from heronry.functions.scalars import code_name, top_folder, via_rank
+from heronry.operators import flow, graph, programs
+from heronry.session import Scratch
 
-#: Kinds of references: what they look for, and the edge that they make.
-COBOL_REFS = {"call": ("program", "INVOKES"), "copy": ("copybook", "INCLUDES")}
-JCL_REFS = {"module": ("program", "EXECUTES"), "exec_proc": ("proc", "EXECUTES")}
+#: Kinds of definitions that may own their file's references, the first one by line; a bean or the file itself if it has none.
+OWNERS = ("program", "job", "proc", "copybook", "type", "table")
+#: Kinds of evidence by type of edge.
+VIA = {"INVOKES": "call", "CALLS": "call", "EXECUTES": "exec_proc", "INCLUDES": "copy", "EXTENDS": "extends", "IMPLEMENTS": "implements", "INJECTS": "inject", "IMPORTS": "import", "READS": "exec_sql", "WRITES": "exec_sql"}
 
 
-def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Definitions (cid, doc_id, path, kind, name) and references (ref_id, doc_id, path, line, kind, name, type) of files (doc_id, path, text)."""
-    by = lambda *e: files.filter(extension(F.col("path")).isin(*e))
-    found = parsers.cobol(by("cbl", "cob")).select("doc_id", "line", "kind", "name").unionByName(parsers.jcl(by("jcl")).filter("status = 'ok'").select("doc_id", "line", "kind", "name"))
-    found = found.join(files.select("doc_id", "path"), "doc_id").withColumn("name", code_name(F.col("name")))
-    books = by("cpy").select("doc_id", "path", F.lit("copybook").alias("kind"), code_name(F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")).alias("name"))
-    defs = found.filter(F.col("kind").isin("program", "job", "proc")).select("doc_id", "path", "kind", "name").unionByName(books).distinct()
-    defs = defs.withColumn("cid", F.concat_ws("|", "kind", "path", "name"))
-    kinds = {**COBOL_REFS, **JCL_REFS}
-    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[i])]), F.col("kind"))
-    refs = found.filter(F.col("kind").isin(*kinds)).select("doc_id", "path", "line", of(0).alias("kind"), "name", of(1).alias("type")).distinct()
-    return defs, refs.withColumn("ref_id", F.concat_ws("|", "path", F.col("line").cast("string"), "type", "name"))
+class World(NamedTuple):
+    """A graph and what could not be made into it."""
 
+    nodes: DataFrame  #: cid, kind, name, path, top
+    edges: DataFrame  #: src, type, dst, via, lines, overflow
+    flags: DataFrame  #: path, line, kind, name, status
+    membership: DataFrame  #: dataset, path
+
+
+class Resolved(NamedTuple):
+    """Facts, written once, and where their references lead."""
+
+    facts: DataFrame
+    defs: DataFrame  #: cid, doc_id, path, kind, name, line
+    refs: DataFrame  #: ref_id, doc_id, path, line, kind, name, type, inside, step, src, def_id, status
+
+
+def definitions(found: DataFrame) -> DataFrame:
+    """One row a definition, at its first line; an item's id has its groups."""
+    d = found.filter("role = 'def'").select("doc_id", "path", F.when(F.col("kind") == "declaration", "function").otherwise(F.col("kind")).alias("kind"), "name", "line", F.when(F.col("kind") == "item", F.col("a")).alias("key"), (F.col("kind") != "declaration").alias("definition"))
+    d = d.withColumn("cid", F.concat_ws("|", "kind", "path", F.coalesce("key", "name")))
+    return d.groupBy("cid", "doc_id", "path", "kind", "name").agg(F.min("line").alias("line"), F.bool_or("definition").alias("definition"))
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (cid, kind, name, path, top), edges (src, type, dst, lines, overflow) and references that made none (ref_id, name, status).
 
-    A reference belongs to the first definition of its file; the nearest definition of its name is its end.
+def resolve(files: DataFrame) -> Resolved:
+    """Read files (doc_id, path, text) once and resolve their references to the nearest definitions.
+
+    A reference belongs to the definition around it where the language tells, else to the first definition of its file.
+    Calls of functions prefer definitions to declarations.
     """
-    defs, refs = facts(files)
-    at = graph.nearest(refs.select("ref_id", "path", "kind", "name"), defs.select(F.col("cid").alias("def_id"), "path", "kind", "name"))
-    owner = defs.groupBy("doc_id").agg(F.min("cid").alias("src"))
-    both = refs.join(at, "ref_id").join(owner, "doc_id", "left")
-    made = both.filter("status = 'resolved' AND src IS NOT NULL")
-    edges = graph.merge_edges(made.select("src", "type", F.col("def_id").alias("dst"), F.lit("").alias("via"), F.lit(0).alias("rank"), "line")).drop("via")
-    nodes = defs.select("cid", "kind", "name", "path", top_folder(F.col("path")).alias("top")).distinct()
-    return nodes, edges, both.filter("status <> 'resolved' OR src IS NULL").select("ref_id", "name", F.when(F.col("src").isNull(), "no_owner").otherwise(F.col("status")).alias("status"))
+    with Scratch(files.sparkSession, "build") as s:
+        found = s.keep(programs.facts(files), "facts")
+        defs = s.keep(definitions(found), "defs")
+        refs = found.filter("role = 'ref'").select("doc_id", "path", "line", "kind", "name", F.col("a").alias("type"), F.when(F.col("kind") == "function", F.col("b")).alias("inside"), F.col("n").alias("step")).distinct()
+        refs = s.keep(refs.withColumn("ref_id", F.concat_ws("|", "path", F.col("line").cast("string"), "kind", "type", "name")), "refs")
+        ask = refs.select("ref_id", "path", "kind", "name").distinct()
+        of = defs.select(F.col("cid").alias("def_id"), "path", "kind", "name", "definition")
+        plain = graph.nearest(ask.filter("kind <> 'function'"), of.filter("kind <> 'function'").drop("definition"))
+        called = graph.nearest_keyed(ask.filter("kind = 'function'"), of.filter("kind = 'function'"))
+        ranks = F.when(F.col("kind").isin(*OWNERS), 0).when(F.col("kind") == "bean", 1).when(F.col("kind") == "file", 2)
+        owner = defs.filter(ranks.isNotNull()).groupBy("path").agg(F.min_by("cid", F.struct(ranks.alias("rank"), "line", "cid")).alias("first"))
+        at = refs.join(plain.unionByName(called), "ref_id").join(owner, "path", "left")
+        src = F.when(F.col("inside").isNotNull(), F.concat_ws("|", F.lit("function"), "path", "inside")).otherwise(F.col("first"))
+        return Resolved(found, defs, s.keep(at.withColumn("src", src).drop("first"), "resolved"))
+
+
+def _edges(refs: DataFrame) -> DataFrame:
+    made = refs.filter("status = 'resolved' AND src IS NOT NULL")
+    via = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in VIA.items() for x in kv]), F.col("type")), F.lower("type"))
+    return made.select("src", "type", F.col("def_id").alias("dst"), via.alias("via"), via_rank(via).alias("rank"), "line")
+
+
+def _nodes(defs: DataFrame) -> DataFrame:
+    return defs.filter("definition").select("cid", "kind", "name", "path", top_folder(F.col("path")).alias("top"))
+
+
+def _flags(refs: DataFrame) -> DataFrame:
+    return refs.filter("status <> 'resolved' OR src IS NULL").select("ref_id", "path", "line", "kind", "name", F.when(F.col("src").isNull(), "no_owner").otherwise(F.col("status")).alias("status"))
+
+
+def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (cid, kind, name, path, top), edges (src, type, dst, via, lines, overflow) and references that made none (ref_id, name, status and where)."""
+    r = resolve(files)
+    return _nodes(r.defs), graph.merge_edges(_edges(r.refs)), _flags(r.refs)
+
+
+def _programs(r: Resolved) -> DataFrame:
+    """(path, cid): the first program or copybook of each file."""
+    return r.defs.filter("kind IN ('program', 'copybook')").groupBy("path").agg(F.min_by("cid", F.struct("line", "cid")).alias("cid"))
+
+
+def file_use(r: Resolved) -> tuple[DataFrame, DataFrame]:
+    """What programs do to files (program, path, dd, mode, line), and what jobs bind these to, as ``flow.bound``."""
+    of = lambda role: r.facts.filter(F.col("role") == role)
+    io = of("io").join(_programs(r), "path").select(F.col("cid").alias("program"), "path", F.col("a").alias("dd"), F.col("kind").alias("mode"), "line")
+    steps = r.refs.filter("type = 'EXECUTES' AND step IS NOT NULL AND status = 'resolved'").select("path", "step", F.col("def_id").alias("program")).distinct()
+    dds = of("dd").select("path", F.col("n").alias("step"), "kind", F.col("name").alias("dd"), F.col("a").alias("name"), F.col("b").alias("generation"), "line")
+    return io, flow.bound(steps, dds)
+
+
+def flows(r: Resolved) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges of data (src, dst, via, line), data sets with their places, their jobs, and flags (path, line, kind, name, status)."""
+    first = _programs(r)
+    io, bindings = file_use(r)
+    files = flow.dataset_flow(io, bindings)
+    used = files.select(F.when(F.col("via") == "read_file", F.col("src")).otherwise(F.col("dst")).alias("dataset")).distinct()
+    copies = r.refs.filter("kind = 'copybook' AND status = 'resolved'").select("src", F.col("def_id").alias("dst"))
+    items = r.defs.filter("kind = 'item'").join(first.withColumnRenamed("cid", "book"), "path").select(F.col("cid").alias("id"), "book", "name")
+    names = r.facts.filter("role = 'use'").join(first, "path").select(F.col("cid").alias("program"), "name", "line")
+    uses, lost = flow.item_use(copies, items, names)
+    edges = files.select("src", "dst", "via", "line").unionByName(uses.withColumn("via", F.lit("use")))
+    back = first.select(F.col("cid").alias("program"), "path")
+    flags = flow.unbound(io, bindings).select("path", "line", F.lit("dataset").alias("kind"), "name", F.lit("unresolved").alias("status"))
+    flags = flags.unionByName(lost.join(back, "program").select("path", F.lit(None).cast("int").alias("line"), F.lit("item").alias("kind"), F.array_join("names", ",").alias("name"), F.lit("use_ambiguous").alias("status")))
+    return edges, flow.datasets(bindings, used), flow.membership(bindings.join(used, "dataset", "left_semi")), flags
+
+
+def world(files: DataFrame) -> World:
+    """The whole graph: dependencies and flows of data (type FLOWS_TO)."""
+    r = resolve(files)
+    moved, sets, jobs, lost = flows(r)
+    moved = moved.select("src", F.lit("FLOWS_TO").alias("type"), "dst", "via", via_rank(F.col("via")).alias("rank"), "line")
+    edges = graph.merge_edges(_edges(r.refs).unionByName(moved))
+    nodes = _nodes(r.defs).unionByName(sets.select(F.col("id").alias("cid"), F.lit("dataset").alias("kind"), "name", "path", top_folder(F.col("path")).alias("top")))
+    return World(nodes, edges, _flags(r.refs).drop("ref_id").unionByName(lost), jobs)
 
 
 def starts(nodes: DataFrame, term: str) -> DataFrame:
-    """Nodes that a term names: by exact name, whatever its case."""
-    return nodes.filter(F.col("name") == code_name(F.lit(term))).select(F.col("cid").alias("id"))
+    """Nodes that a term names: by exact name, as it is or in upper case without dots at its end."""
+    return nodes.filter(F.col("name").isin(term) | (F.col("name") == code_name(F.lit(term)))).select(F.col("cid").alias("id"))
 
 
 def impact_of(nodes: DataFrame, edges: DataFrame, flags: DataFrame, term: str, depth: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -178,7 +178,7 @@ _ITEM = re.compile(r"^(\d\d?)\s+([A-Z0-9][A-Z0-9-]*)?(.*)", re.S | re.I)
 _VALUE = re.compile(r"\bVALUE\s+(?:IS\s+)?([+-]?\d+(?:\.\d+)?)", re.I)
 
 
-def _levels(text: str):
+def levels(text: str):
     stack: list[tuple[int, str]] = []
     for number, raw in enumerate(text.split("\n"), 1):
         body = raw[6:72] if raw[:6].strip(" 0123456789") == "" and len(raw) > 6 else raw
@@ -198,13 +198,13 @@ def _levels(text: str):
 
 def copybook(docs: DataFrame) -> DataFrame:
     """(doc_id, line, level, name, key, value): items below their groups; fillers have no name."""
-    return by_document(docs, _levels, "line int, level int, name string, key string, value string")
+    return by_document(docs, levels, "line int, level int, name string, key string, value string")
 
 
 _YAML = re.compile(r"^(\s*)(?:- )?([\w.-]+)\s*:(?:\s+(.*?))?\s*$")
 
 
-def _flattened(text: str):
+def flattened(text: str):
     stack: list[tuple[int, str]] = []
     for number, raw in enumerate(text.split("\n"), 1):
         hit = None if raw.lstrip().startswith("#") else _YAML.match(raw)
@@ -221,7 +221,7 @@ def _flattened(text: str):
 
 def yaml_keys(docs: DataFrame) -> DataFrame:
     """(doc_id, line, key, value): dotted keys of YAML mappings."""
-    return by_document(docs, _flattened, "line int, key string, value string")
+    return by_document(docs, flattened, "line int, key string, value string")
 
 
 def row_groups(docs: DataFrame, rows: int = 20, row_bytes: int = 7600, chars: int = 1000) -> DataFrame:

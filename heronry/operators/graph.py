@@ -61,6 +61,31 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool =
         return seen, False
 
 
+def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(start, id): all that can be reached along edges (src, dst) from each of ``starts`` (id), all sources if None; a start in a cycle reaches itself.
+
+    Pairs are found for inner nodes once, by what is new in each step only, and shared by all starts that lead to them.
+    """
+    with Scratch(edges.sparkSession, "reach") as s:
+        e = s.save(edges.select("src", "dst").distinct(), "edges")
+        inner = s.save(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "inner")
+        step = inner.select(F.col("src").alias("id"), F.col("dst").alias("next"))
+        seen = new = s.keep(inner.select(F.col("src").alias("start"), F.col("dst").alias("id")), "pairs")
+        while not new.isEmpty():
+            more = new.join(step, "id").select("start", F.col("next").alias("id")).distinct()
+            new = s.keep(more.join(seen, ["start", "id"], "left_anti"), "pairs")
+            seen = seen.unionByName(new)
+        first = s.keep(e if starts is None else e.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi"), "first")
+    further = first.join(seen.withColumnRenamed("id", "far"), F.col("dst") == F.col("start")).select(F.col("src").alias("start"), F.col("far").alias("id"))
+    return first.select(F.col("src").alias("start"), F.col("dst").alias("id")).unionByName(further).distinct()
+
+
+def first_sorted(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """(key, places): for each key the ``most`` smallest values in order; no group comes together before it is cut."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("places"))
+
+
 def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """Undirected shortest distances up to ``depth``."""
     both = edges.select("src", "dst").union(edges.select("dst", "src"))
