@@ -12,12 +12,13 @@ Candidates are stars: each other member of a bucket with the one that meets most
 others over all buckets, the smallest number if equal; of many variants of a text that is
 most likely the text itself. All are confirmed on full sets. Members of one bucket that
 stay in different components after that may still be linked to each other, so a second
-pass tries, in such buckets, every member outside the largest component with every
-member of another component. Each brings its sketch, the ``SKETCH`` smallest hashes of its
-set, and the join drops pairs by it: sets no larger than the sketch are compared exactly
+pass looks for pairs of different components among all members of such buckets. Each brings its sketch, the ``SKETCH`` smallest hashes of its
+set: sets no larger than the sketch are compared exactly
 there; of larger ones at least ``LEAST`` of the smallest hashes of the union are common at
-0.85 but for a probability of 1e-8. What is left, pairs of numbers, goes through the
-same confirmation on full sets.
+0.85 but for a probability of 1e-8. Sketches meet by their rarest hashes (``prefixes``), of which two similar ones
+share one; pages with a template in common and texts of their own never meet, however many they are. Only members
+that are nearly similar, with less of their own than the share leaves, are still compared in pairs.
+What passes, pairs of numbers, goes through the same confirmation on full sets.
 Components come from minimum labels with pointer jumping; each step is a
 written table, deleted after use. Joins on hot keys have an exchange on both sides, so that Spark
 splits skewed ones.
@@ -192,28 +193,46 @@ def _close(x, y):
     return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
+def prefixes(s: Scratch, each: DataFrame) -> DataFrame:
+    """(token, node, n, comp): for each row (node, n, comp, sketch) the rarest of its hashes, one of which any similar sketch has among its own rarest.
+
+    Two sketches with ``need`` hashes in common share one of the first size - need + 1 in any order that holds for all;
+    hashes go by how many sketches have them, so that a template's come last. Those that no other has are left out then.
+    """
+    tokens = s.save(each.select("node", F.explode("sketch").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    placed = F.struct(F.coalesce("m", F.lit(1)).alias("m"), "token")
+    order = tokens.join(often, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(placed)).alias("order"))  # SKETCH at most
+    # one less than the share asks for, since two hashes of a set may be equal in their 32 bits
+    own = F.least(F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1, F.lit(LEAST))
+    need = F.when(F.col("n") <= SKETCH, own).otherwise(LEAST)
+    at = each.select("node", "n", "comp").join(order, "node")
+    first = at.select("node", "n", "comp", F.explode(F.slice("order", F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0)))).alias("p"))
+    return first.filter("p.m > 1").select("p.token", "node", "n", "comp")
+
+
 def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) in one bucket but different components that sketches don't rule out."""
+    """Pairs (a, b) of different components that sketches don't rule out, of the members of buckets that hold several."""
     at = s.save(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp")), "open")
-    sized = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = sized.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("kinds"))
-    rest = s.save(at.join(largest.filter("kinds > 1").drop("kinds"), "bucket"), "rest")
-    nodes = s.save(classes.select("node", "id", "key", "bands").join(rest.select("node").distinct(), "node"), "nodes")
-    sketches = sets_of(docs, nodes.drop("bands"), id_col, text_col, SKETCH).withColumnRenamed("set", "sketch")
-    sketches = s.save(sketches.join(nodes.select("node", "bands"), "node"), "sketches")
-    full = s.save(rest.join(sketches, "node"), "sketched")
-    c = full.filter("comp <> largest").select("bucket", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp", "bands", "sketch")])
-    #: A pair is compared in the smallest of the buckets that it shares only.
-    here = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("bucket")
-    common = F.size(F.array_intersect("sketch", "c_sketch"))
-    #: One more than is common, since two hashes of a set may be equal in their 32 bits.
-    small = 100 * (common + 1) >= PERCENT * (F.col("n") + F.col("c_n") - common - 1)
-    similar = F.when(F.greatest("n", "c_n") <= SKETCH, small).otherwise(common >= LEAST)
+    kinds = at.groupBy("bucket").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).filter("one < other").select("bucket")
+    rest = s.save(at.join(kinds, "bucket").select("node", "n", "comp").distinct(), "rest")
+    sketches = sets_of(docs, classes.select("node", "id", "key").join(rest.select("node"), "node"), id_col, text_col, SKETCH).withColumnRenamed("set", "sketch")
+    each = s.save(rest.join(sketches, "node"), "sketches")
+    first = s.save(prefixes(s, each), "prefixes")
+    largest = first.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("kinds"))
+    open_ = s.save(first.join(largest.filter("kinds > 1").drop("kinds"), "token"), "met")
+    c = open_.filter("comp <> largest").select("token", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp")])
     #: Once also where both are outside the largest component.
     once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("c_node"))
-    found = full.join(c, "bucket").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")) & here & similar)
-    out = s.save(found.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")), "across")
-    s.drop(at, rest, nodes, sketches, full)
+    met = open_.join(c, "token").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")))
+    pairs = s.save(met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "candidates")
+    of = lambda k, x, n: each.select(F.col("node").alias(k), F.col("sketch").alias(x), F.col("n").alias(n))
+    both = pairs.join(of("b", "y", "m"), "b").join(of("a", "x", "n"), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    #: One more than is common, since two hashes of a set may be equal in their 32 bits.
+    small = 100 * (common + 1) >= PERCENT * (F.col("n") + F.col("m") - common - 1)
+    out = s.save(both.filter(F.when(F.greatest("n", "m") <= SKETCH, small).otherwise(common >= LEAST)).select("a", "b"), "across")
+    s.drop(at, rest, each, first, open_, pairs)
     return out
 
 

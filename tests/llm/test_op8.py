@@ -97,3 +97,26 @@ def test_estimates_are_unbiased():
                 k = int(n * (1 - share) / 2)
                 agree.append((op.signature(np.unique(u[k:])) == op.signature(np.unique(u[: n - k]))).mean())
         assert abs(np.mean(agree) - share) < 0.06
+
+
+def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
+    """Unlinked pages that share most words: hardly any candidate in the second pass, however many pages; linked ones among them are found."""
+    seen = []
+    keep = op.Scratch.save
+
+    def save(self, df, name):
+        out = keep(self, df, name)
+        if name == "candidates":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(op.Scratch, "save", save)
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(164)]
+    for rows in (250, 500):
+        texts = [template[:82] + [f"u{rng.randrange(10**9)}" for _ in range(36)] + template[82:] for _ in range(rows)]
+        texts[7] = texts[3][:100] + ["other"] + texts[3][101:]
+        d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = op.near_dedup(d).filter("NOT kept").collect()
+        assert [(r.doc_id, r.component_id) for r in got] == [(7, 3)]
+    assert len(seen) == 2 and max(seen) <= 5
