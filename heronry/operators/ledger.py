@@ -49,7 +49,7 @@ def vector_key(text, provider: str, model: str, dim: int, algorithm: str):
 
 def vector_fill(chunks: DataFrame, cache: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """Chunks (chunk_id, key) with the cached vector of their key, or status missing; and the distinct keys to embed."""
-    good = cache.filter((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0)).groupBy("key").agg(F.first("vector").alias("vector"))
+    good = cache.filter((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0)).groupBy("key").agg(F.min("vector").alias("vector"))
     filled = chunks.join(good, "key", "left").withColumn("status", F.when(F.col("vector").isNull(), "missing").otherwise("cached"))
     return filled, filled.filter("status = 'missing'").select("key").distinct()
 

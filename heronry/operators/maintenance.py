@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronry.session import file_system, put_new, remove
+
 
 def diff(old: DataFrame, new: DataFrame, key: str, *by: str) -> DataFrame:
     """added, removed or changed rows between two manifests."""
@@ -23,31 +24,40 @@ def signature(df: DataFrame, group: list[str], key: str, *by: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, name: str, generation: str) -> str:
-    """Write a new generation, then add a pointer to it; readers see the old or the new one.
+    """Write a new generation, then a pointer to it; readers see the old or the new one.
 
-    Pointers are rows of a table that only grows, each with a number one above the last; no
-    moment is without one, and a write that fails leaves the old one in force.
+    A pointer is a small file with the next number, made only if no other has it, so that two publishers never share
+    one; a write that fails leaves the old generation in force.
     """
-    spark = df.sparkSession
-    path, pointers = f"{root}/{name}-g{generation}", f"{root}/{name}-pointers"
+    spark, path = df.sparkSession, f"{root}/{name}-g{generation}"
     df.write.parquet(path)
-    before = _pointers(spark, pointers)
-    number = 0 if before is None else (before.agg(F.max("number")).first()[0] or 0)
-    spark.createDataFrame([(number + 1, path)], "number long, path string").coalesce(1).write.mode("append").parquet(pointers)
+    number = max([0, *(n for n, _ in pointers(spark, root, name))])
+    while not put_new(spark, f"{root}/{name}-pointers/{number + 1:012d}", path):
+        number += 1
     return path
 
 
-def _pointers(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        return spark.read.schema("number long, path string").parquet(folder)
-    except AnalysisException:
-        return None
+def pointers(spark: SparkSession, root: str, name: str) -> list[tuple[int, str]]:
+    """(number, path) of all generations that have a pointer, in order."""
+    p, fs = file_system(spark, f"{root}/{name}-pointers")
+    if not fs.exists(p) or not fs.listStatus(p):
+        return []
+    rows = spark.read.text(p.toString()).select(F.regexp_extract(F.input_file_name(), r"(\d+)$", 1).cast("long").alias("n"), "value")
+    return sorted((r.n, r.value) for r in rows.collect())
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The published generation."""
-    found = _pointers(spark, f"{root}/{name}-pointers")
-    return spark.read.parquet(found.agg(F.max_by("path", "number")).first()[0])
+    return spark.read.parquet(pointers(spark, root, name)[-1][1])
+
+
+def sweep(spark: SparkSession, root: str, name: str, keep: int = 2) -> int:
+    """Delete all but the last ``keep`` generations, the pointers first; how many went."""
+    old = pointers(spark, root, name)[:-keep]
+    for n, path in old:
+        remove(spark, f"{root}/{name}-pointers/{n:012d}")
+        remove(spark, path)
+    return len(old)
 
 
 def missing(left: DataFrame, have: DataFrame, key: str) -> DataFrame:

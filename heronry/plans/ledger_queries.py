@@ -66,13 +66,13 @@ def upserted_facts(spark, sf_dir):  # K11
     return ledger.upserted(o, ["o_orderdate", "o_orderkey"], "o_custkey").drop("o_orderdate")
 
 
-CHUNKS = "SELECT doc_id AS chunk_id, sha1('p|m|64|v1|' || text[1:12]) AS key FROM documents WHERE text IS NOT NULL"
+CHUNKS = "SELECT doc_id AS chunk_id, sha1('p|m|64|v1|' || text) AS key FROM documents WHERE text IS NOT NULL"
 
 
 @query("vector_fill", f"""WITH c AS ({CHUNKS}), v AS (SELECT DISTINCT key FROM c JOIN embeddings ON vec_id = chunk_id WHERE vec_id % 3 = 0 AND vec_id % 9 <> 0)
 SELECT chunk_id, c.key, CASE WHEN v.key IS NULL THEN 'missing' ELSE 'cached' END AS status FROM c LEFT JOIN v ON c.key = v.key""")
 def vector_fill(spark, sf_dir):  # V05, V07
-    key = ledger.vector_key(F.substring("text", 1, 12), "p", "m", 64, "v1")
+    key = ledger.vector_key(F.col("text"), "p", "m", 64, "v1")
     chunks = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), key.alias("key"))
     e = table(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0")
     spoilt = F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that new ones are made in, innermost last; the shared folder if empty.
@@ -39,10 +40,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{_inside[-1] if _inside else shared_dir(spark)}/heronry-{label}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder wherever Spark can reach it; one that isn't there is fine."""
+def file_system(spark: SparkSession, path: str):
+    """A path and its file system, wherever Spark can reach it."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; one that isn't there is fine."""
+    found, fs = file_system(spark, path)
+    fs.delete(found, True)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file, with a line break behind the text, if there is none of that name."""
+    found, fs = file_system(spark, path)
+    try:
+        out = fs.create(found, False)
+    except Py4JJavaError:
+        if fs.exists(found):
+            return False
+        raise
+    out.write(bytearray((text + "\n").encode()))
+    out.close()
+    return True
 
 
 def materialise(df: DataFrame, label: str, to: str | None = None) -> DataFrame:
