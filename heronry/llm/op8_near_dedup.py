@@ -194,7 +194,7 @@ def _close(x, y):
 
 
 def prefixes(s: Scratch, each: DataFrame) -> DataFrame:
-    """(token, node, n, comp): for each row (node, n, comp, sketch) the rarest of its hashes, one of which any similar sketch has among its own rarest.
+    """(token, node, n, comp, pos, size): for each row (node, n, comp, sketch) the rarest of its hashes with their places, one of which any similar sketch has among its own rarest.
 
     Two sketches with ``need`` hashes in common share one of the first size - need + 1 in any order that holds for all;
     hashes go by how many sketches have them, so that a template's come last. Those that no other has are left out then.
@@ -207,8 +207,8 @@ def prefixes(s: Scratch, each: DataFrame) -> DataFrame:
     own = F.least(F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1, F.lit(LEAST))
     need = F.when(F.col("n") <= SKETCH, own).otherwise(LEAST)
     at = each.select("node", "n", "comp").join(order, "node")
-    first = at.select("node", "n", "comp", F.explode(F.slice("order", F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0)))).alias("p"))
-    return first.filter("p.m > 1").select("p.token", "node", "n", "comp")
+    first = at.select("node", "n", "comp", F.size("order").alias("size"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0)))).alias("pos", "p"))
+    return first.filter("p.m > 1").select("p.token", "node", "n", "comp", "pos", "size")
 
 
 def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -221,10 +221,13 @@ def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame,
     first = s.save(prefixes(s, each), "prefixes")
     largest = first.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("kinds"))
     open_ = s.save(first.join(largest.filter("kinds > 1").drop("kinds"), "token"), "met")
-    c = open_.filter("comp <> largest").select("token", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp")])
+    c = open_.filter("comp <> largest").select("token", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp", "pos", "size")])
+    #: With both sizes known the share asks for more: the first common hash has at least so many from itself on in both orders.
+    need = F.when(F.greatest("n", "c_n") <= SKETCH, F.ceil((F.col("n") + F.col("c_n")) * PERCENT / (100 + PERCENT)).cast("int") - 1).otherwise(LEAST)
+    placed = (F.col("pos") <= F.col("size") - need) & (F.col("c_pos") <= F.col("c_size") - need)
     #: Once also where both are outside the largest component.
     once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("c_node"))
-    met = open_.join(c, "token").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")))
+    met = open_.join(c, "token").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")) & placed)
     pairs = s.save(met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "candidates")
     of = lambda k, x, n: each.select(F.col("node").alias(k), F.col("sketch").alias(x), F.col("n").alias(n))
     both = pairs.join(of("b", "y", "m"), "b").join(of("a", "x", "n"), "a")
