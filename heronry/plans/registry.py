@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules whose ``query`` holds queries and oracles.
-MODULES = ("heronry.plans.text_queries", "heronry.plans.file_queries", "heronry.plans.graph_queries", "heronry.plans.usage_queries", "heronry.plans.audit_queries", "heronry.plans.parser_queries", "heronry.plans.code_queries", "heronry.plans.resolve_queries", "heronry.plans.report_queries", "heronry.plans.answer_queries", "heronry.plans.ledger_queries", "heronry.plans.build_queries", "heronry.plans.flow_queries", "heronry.plans.index_queries", "heronry.plans.sheet_queries", "heronry.plans.hierarchy_queries", "heronry.plans.page_queries")
+MODULES = ("heronry.plans.text_queries", "heronry.plans.file_queries", "heronry.plans.graph_queries", "heronry.plans.usage_queries", "heronry.plans.audit_queries", "heronry.plans.parser_queries", "heronry.plans.code_queries", "heronry.plans.resolve_queries", "heronry.plans.report_queries", "heronry.plans.answer_queries", "heronry.plans.ledger_queries", "heronry.plans.build_queries", "heronry.plans.flow_queries", "heronry.plans.index_queries", "heronry.plans.sheet_queries", "heronry.plans.hierarchy_queries", "heronry.plans.page_queries", "heronry.plans.anchored_queries")
 
 
 def queries() -> dict:
