@@ -18,7 +18,9 @@ def clipped_hits(docs: DataFrame, needle: str, most: int, around: int = 3) -> Da
     hits = F.filter(F.transform("every", lambda x, i: F.when(F.contains(x, F.lit(needle)), i + 1)), lambda i: i.isNotNull())
     at = row.select("doc_id", "every", F.when(F.octet_length("text") <= most, F.col("text")).alias("whole"), F.explode(hits).alias("line"))
     first, last, n = F.greatest(F.col("line") - around, F.lit(1)), F.least(F.col("line") + around, F.size("every")), F.size("every")
-    before = F.when(first > 1, F.concat(F.lit("⋯（1〜"), (first - 1).cast("string"), F.lit("行目を省略）⋯\n"))).otherwise("")
+    # fixed values: marks of one line, of several and of the rest
+    several = F.when(first > 2, F.concat(F.lit("〜"), (first - 1).cast("string"))).otherwise("")
+    before = F.when(first > 1, F.concat(F.lit("⋯（1"), several, F.lit("行目を省略）⋯\n"))).otherwise("")
     after = F.when(last < n, F.concat(F.lit("\n⋯（"), (last + 1).cast("string"), F.lit("行目以降を省略）⋯"))).otherwise("")
     near = F.concat(before, clip_bytes(F.array_join(F.slice("every", first, last - first + 1), "\n"), most - 128), after)
     return at.select("doc_id", "line", F.coalesce("whole", near).alias("shown"))

@@ -140,3 +140,45 @@ def impact_of(nodes: DataFrame, edges: DataFrame, flags: DataFrame, term: str, d
     limits = F.array_compact(F.array(F.when(F.col("n") == 0, F.lit("no_start")), F.when(F.lit(more), F.lit("depth_truncated")), F.when(F.col("lost") > 0, F.lit("unresolved_names"))))
     cover = named.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(lost)).select("n", "lost", limits.alias("limits"), (F.size(limits) == 0).alias("complete"))
     return named, cover
+
+
+#: Why an answer is not whole.
+LIMITS = ("timeout", "row_cap", "depth", "result_cap", "doc_search_truncated", "card_cap", "graph_unavailable", "graph_reingest_required", "plugin_failed", "source_unparsed", "narrow_required")
+
+
+def answer(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 10, ceiling: int = 10_000, most_starts: int = 50, most: int | None = None, unparsed: int = 0, same_era: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a change of ``term`` reaches, (cid, kind, name, path, level, trace, types) with the way to each node, and the limits of the answer (kind, stage, count).
+
+    Too many starts ask for a narrower term and nothing is walked; a graph of another era or without nodes says so; files that
+    could not be parsed are counted; ``most`` cuts the answer by level and cid and counts what is left out. Without a row in the
+    limits the answer is whole.
+    """
+    spark, limits = nodes.sparkSession, []
+    first = starts(nodes, term)
+    n = first.limit(most_starts + 1).count()
+    if not same_era:
+        limits.append(("graph_reingest_required", "anchor", None))
+    elif nodes.isEmpty():
+        limits.append(("graph_unavailable", "anchor", None))
+    elif n > most_starts:
+        limits.append(("narrow_required", "anchor", first.count()))
+    walk = first if not limits else first.limit(0)
+    found, ended = graph.traced(edges.select("src", "dst", "type"), walk, depth, ceiling)
+    limits += [(kind, "impact", count) for kind, count in ended.items()]
+    if unparsed:
+        limits.append(("source_unparsed", "impact", unparsed))
+    named = found.join(nodes, F.col("id") == F.col("cid")).select("cid", "kind", "name", nodes["path"], "level", found["path"].alias("trace"), "types")
+    if most is not None:
+        total = found.count()
+        if total > most:
+            limits.append(("result_cap", "impact", total - most))
+            named = named.orderBy("level", "cid").limit(most)
+    return named, spark.createDataFrame(limits, "kind string, stage string, count long")
+
+
+def quality(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """(recall, precision) of pairs (start, id); 1 where there is nothing to find, or nothing found."""
+    both = found.distinct().withColumn("f", F.lit(1)).join(gold.distinct().withColumn("g", F.lit(1)), ["start", "id"], "full")
+    hit = F.count(F.when(F.col("f").isNotNull() & F.col("g").isNotNull(), 1))
+    share = lambda c: F.when(F.count(c) == 0, 1.0).otherwise(F.round(hit / F.count(c), 6))
+    return both.agg(share("g").alias("recall"), share("f").alias("precision"))

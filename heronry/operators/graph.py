@@ -61,21 +61,56 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool =
         return seen, False
 
 
+def traced(edges: DataFrame, starts: DataFrame, depth: int = 10, ceiling: int = 10_000) -> tuple[DataFrame, dict]:
+    """As ``impact`` against edges (src, dst, type): (id, level, path, types), the path from its start and the types of its edges; and what ended it.
+
+    No more than ``ceiling`` rows are found beside the starts: a level that passes it is cut, the smallest ids stay, and
+    row_cap says so; depth says that more lies beyond the last level. Of several ways the smallest parent's is taken.
+    """
+    none = F.array().cast("array<string>")
+    with Scratch(edges.sparkSession, "traced") as s:
+        e = s.save(edges.select(F.col("dst").alias("from"), F.col("src").alias("id"), "type").distinct(), "edges")
+        front = s.keep(starts.select("id").distinct().select("id", F.lit(0).alias("level"), F.array("id").alias("path"), none.alias("types")), "level")
+        seen, left, ended = front, ceiling, {}
+        for level in range(1, depth + 2):
+            way = F.min(F.struct("from", "type", "path", "types")).alias("w")
+            step = front.select(F.col("id").alias("from"), "path", "types").join(e, "from").groupBy("id").agg(way)
+            new = step.join(seen.select("id"), "id", "left_anti")
+            if level > depth:
+                if not new.isEmpty():
+                    ended["depth"] = None
+                break
+            new = s.save(new.select("id", F.lit(level).alias("level"), F.concat("w.path", F.array("id")).alias("path"), F.concat("w.types", F.array("w.type")).alias("types")), "new")
+            n = new.count()
+            if n > left:
+                ended["row_cap"] = ceiling
+                seen = seen.unionByName(s.keep(new.orderBy("id").limit(left), "level"))
+                break
+            if not n:
+                break
+            front, left = s.keep(new, "level"), left - n
+            seen = seen.unionByName(front)
+    return seen, ended
+
+
 def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, id): all that can be reached along edges (src, dst) from each of ``starts`` (id), all sources if None; a start in a cycle reaches itself.
 
-    Pairs are found for inner nodes once, by what is new in each step only, and shared by all starts that lead to them.
+    Only what is new goes further in each step. Without ``starts`` pairs are found for inner nodes once and shared by all
+    sources that lead to them.
     """
     with Scratch(edges.sparkSession, "reach") as s:
         e = s.save(edges.select("src", "dst").distinct(), "edges")
-        inner = s.save(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "inner")
-        step = inner.select(F.col("src").alias("id"), F.col("dst").alias("next"))
-        seen = new = s.keep(inner.select(F.col("src").alias("start"), F.col("dst").alias("id")), "pairs")
+        at = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi") if starts is None else e.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+        step = e.select(F.col("src").alias("id"), F.col("dst").alias("next"))
+        seen = new = s.keep(at.select(F.col("src").alias("start"), F.col("dst").alias("id")), "pairs")
         while not new.isEmpty():
             more = new.join(step, "id").select("start", F.col("next").alias("id")).distinct()
             new = s.keep(more.join(seen, ["start", "id"], "left_anti"), "pairs")
             seen = seen.unionByName(new)
-        first = s.keep(e if starts is None else e.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi"), "first")
+        if starts is not None:
+            return seen
+        first = s.keep(e, "first")
     further = first.join(seen.withColumnRenamed("id", "far"), F.col("dst") == F.col("start")).select(F.col("src").alias("start"), F.col("far").alias("id"))
     return first.select(F.col("src").alias("start"), F.col("dst").alias("id")).unionByName(further).distinct()
 

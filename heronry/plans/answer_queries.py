@@ -20,7 +20,7 @@ def clip_bytes(spark, sf_dir):  # C02
 
 @query("clipped_hits", f"""WITH {LINES}, n AS (SELECT doc_id, max(line) AS n FROM l GROUP BY doc_id), h AS (SELECT doc_id, line FROM l WHERE contains(txt, 'icense')),
 w AS (SELECT h.doc_id, h.line, string_agg(l.txt, chr(10) ORDER BY l.line) AS near FROM h JOIN l ON l.doc_id = h.doc_id AND l.line BETWEEN h.line - 3 AND h.line + 3 GROUP BY ALL)
-SELECT w.doc_id, w.line::INT AS line, md5(CASE WHEN strlen(text) <= 1500 THEN text ELSE (CASE WHEN line > 4 THEN '⋯（1〜' || (line - 4) || '行目を省略）⋯' || chr(10) ELSE '' END)
+SELECT w.doc_id, w.line::INT AS line, md5(CASE WHEN strlen(text) <= 1500 THEN text ELSE (CASE WHEN line = 5 THEN '⋯（1行目を省略）⋯' || chr(10) WHEN line > 5 THEN '⋯（1〜' || (line - 4) || '行目を省略）⋯' || chr(10) ELSE '' END)
  || (CASE WHEN strlen(near) <= 1372 THEN near ELSE near[1:list_max(list_filter(range(0, 1373), lambda k: strlen(near[1:k]) <= 1372))] END)
  || (CASE WHEN line + 3 < n THEN chr(10) || '⋯（' || (line + 4) || '行目以降を省略）⋯' ELSE '' END) END) AS hash FROM w JOIN documents USING (doc_id) JOIN n USING (doc_id)""")
 def clipped_hits(spark, sf_dir):  # X03

@@ -51,6 +51,47 @@ def impact_coverage(spark, sf_dir):  # G13, G14
     return build.impact_of(*build.build(corpus(spark, sf_dir)), "C7", 1)[1]
 
 
+#: Ancestors of program k by calls are k, k / 2, k / 4 ...; a book reaches the programs with one that copies it, and their jobs.
+GOLD_SQL = """p AS (SELECT o_orderkey AS k FROM orders), a AS (SELECT DISTINCT k, (k >> i) % 30 AS c FROM p, (SELECT unnest(range(0, 40)) AS i) WHERE (k >> i) % 30 < 25 AND (i = 0 OR k >> (i - 1) > 0)), d AS (SELECT k, k % 30 AS c FROM p WHERE k % 30 < 25),
+n AS (SELECT (SELECT count(*) + count(*) FILTER (k % 5 = 0) FROM a) AS whole, (SELECT count(*) + count(*) FILTER (k % 5 = 0) FROM d) AS direct)"""
+
+
+@query("closure_quality", f"""WITH {GOLD_SQL} SELECT '' AS dropped, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS "precision" UNION ALL SELECT 'INVOKES', round(direct / whole, 6), 1.0 FROM n""")
+def closure_quality(spark, sf_dir):  # G15
+    nodes, edges, _ = build.build(corpus(spark, sf_dir))
+    books = nodes.filter("kind = 'copybook'").select(F.col("cid").alias("id"))
+    k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    up = k.select("k", F.explode(F.sequence(F.lit(0), F.length(F.bin("k")))).alias("i")).filter("i = 0 OR shiftright(k, i - 1) > 0").select("k", F.expr("shiftright(k, i) % 30").alias("c")).distinct().filter("c < 25")
+    book, path = F.expr("'copybook|w/cpy/C' || c || '.cpy|C' || c").alias("start"), {"program": "'program|w/cbl/d' || (k % 7) || '/P' || k || '.cbl|P' || k", "job": "'job|w/jcl/J' || k || '.jcl|J' || k"}
+    gold = up.select(book, F.expr(path["program"]).alias("id")).unionByName(up.filter("k % 5 = 0").select(book, F.expr(path["job"]).alias("id")))
+    out = None
+    for dropped in ("", "INVOKES"):
+        back = edges.filter(F.col("type") != dropped).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        one = build.quality(graph.reach(back, books), gold).select(F.lit(dropped).alias("dropped"), "recall", "precision")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("impact_limits", """WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 30 = 7) SELECT 'deep' AS question, 'depth' AS kind, 'impact' AS stage, NULL::BIGINT AS count UNION ALL SELECT 'rows', 'row_cap', 'impact', 5 UNION ALL SELECT 'starts', 'narrow_required', 'anchor', 1
+UNION ALL SELECT 'results', 'depth', 'impact', NULL UNION ALL SELECT 'results', 'result_cap', 'impact', n + 1 - 3 FROM n UNION ALL SELECT 'files', 'source_unparsed', 'impact', 4 UNION ALL SELECT 'old', 'graph_reingest_required', 'anchor', NULL""")
+def impact_limits(spark, sf_dir):  # G13, G14
+    nodes, edges, _ = build.build(corpus(spark, sf_dir))
+    questions = {"deep": {"depth": 1}, "rows": {"depth": 1, "ceiling": 5}, "starts": {"most_starts": 0}, "results": {"depth": 1, "most": 3}, "files": {"depth": 40, "unparsed": 4, "ceiling": 10**9}, "old": {"same_era": False}}
+    out = None
+    for name, how in questions.items():
+        limits = build.answer(nodes, edges, "C7", **how)[1].withColumn("question", F.lit(name))
+        out = limits if out is None else out.unionByName(limits)
+    return out
+
+
+@query("impact_traces", f"""WITH RECURSIVE {EDGES_SQL}, w(id, level) AS (SELECT 'copybook|w/cpy/C7.cpy|C7', 0 UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.id), s AS (SELECT id, min(level) AS level FROM w GROUP BY id),
+t(id, trace, types, level) AS (SELECT id, [id], []::VARCHAR[], 0 FROM s WHERE level = 0 UNION ALL SELECT x.id, list_append(t.trace, x.id), list_append(t.types, x.type), x.level FROM t JOIN (SELECT s.id, s.level, min({{'f': e.dst, 't': e.type}}).f AS parent, min({{'f': e.dst, 't': e.type}}).t AS type FROM s JOIN e ON e.src = s.id JOIN s p ON p.id = e.dst AND p.level = s.level - 1 GROUP BY s.id, s.level) x ON x.parent = t.id AND x.level = t.level + 1)
+SELECT id AS cid, level::INT AS level, trace, types FROM t""")
+def impact_traces(spark, sf_dir):  # G02, G09
+    nodes, edges, _ = build.build(corpus(spark, sf_dir))
+    return build.answer(nodes, edges, "c7.", 40, 10**9)[0].select("cid", "level", "trace", "types")
+
+
 DEFS = "SELECT doc_id AS def_id, source || '/' || (doc_id % 5) || '/d' || doc_id AS path, 'n' || (doc_id % 41) AS name, doc_id % 3 = 0 AS definition FROM documents"
 REFS = "SELECT doc_id AS ref_id, source || '/' || (doc_id % 7) || '/r' || doc_id AS path, 'n' || (doc_id % 43) AS name FROM documents"
 
