@@ -28,6 +28,38 @@ def rrf(hits: dict[str, DataFrame], weights: dict[str, float] | None = None, k:
     return out.orderBy(F.desc("score"), "key").limit(k)
 
 
+#: Engines in the order in which their snippets are taken, the worth of a graph hit by its judgement, paths shown.
+ENGINES, JUDGED, PATHS = ("keyword", "vector", "graph"), {"sure": 1.0, "review": 0.6, "presumed": 0.3}, 5
+
+
+def fused(hits: DataFrame, weights: dict[str, float] | None = None, k: int = 10, c: int = 60) -> DataFrame:
+    """(key, score, sources, snippet, line, judgement, paths, omitted): top k of hits (engine, key, place, snippet, line, judgement, path), lists that their engines have cut.
+
+    Hits of one engine and key are one, at their best place and best judgement, with their paths; places are then ranks from 1. A
+    rank gives weight / (c + rank), for graph hits times what their judgement is worth. The snippet, with its line, is
+    the first engine's that has one; sources are engine:rank.
+    """
+    of = lambda column, values: F.element_at(F.create_map(*[F.lit(x) for kv in values for x in kv]), column)
+    place = of(F.col("engine"), [(e, n) for n, e in enumerate(ENGINES)])
+    worse = F.try_element_at(F.create_map(*[F.lit(x) for n, j in enumerate(JUDGED) for x in (j, n)]), F.coalesce("judgement", F.lit("")))
+    one = hits.groupBy("engine", "key").agg(
+        F.min("place").alias("place"), F.min(F.struct("place", "snippet", "line")).alias("s"), F.min(F.when(worse.isNotNull(), F.struct(worse.alias("w"), "judgement"))).alias("j"),
+        F.array_sort(F.collect_set(F.when(F.col("engine") == "graph", F.col("path")))).alias("all_paths"),
+    )
+    rank = F.row_number().over(Window.partitionBy("engine").orderBy("place", "key"))
+    worth = F.when(F.col("engine") == "graph", F.coalesce(of(F.col("j.judgement"), JUDGED.items()), F.lit(1.0))).otherwise(1.0)
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (weights or {"": 1.0}).items() for x in kv]), F.col("engine")), F.lit(1.0))
+    ranked = one.withColumn("rank", rank).withColumn("part", weight * worth / (c + F.col("rank"))).withColumn("order", place)
+    shown = F.min(F.when(F.coalesce("s.snippet", F.lit("")) != "", F.struct("order", "s.snippet", "s.line")))
+    got = ranked.groupBy("key").agg(
+        F.round(F.sum("part"), 6).alias("score"), F.array_sort(F.collect_list(F.struct("order", "engine", "rank"))).alias("o"), shown.alias("s"),
+        F.max(F.when(F.col("engine") == "graph", F.col("j.judgement"))).alias("judgement"), F.flatten(F.collect_list("all_paths")).alias("p"),
+    )
+    sources = F.array_join(F.transform("o", lambda x: F.concat_ws(":", x["engine"], x["rank"].cast("string"))), ",")
+    out = got.select("key", "score", sources.alias("sources"), "s.snippet", "s.line", "judgement", F.slice("p", 1, PATHS).alias("paths"), F.greatest(F.size("p") - PATHS, F.lit(0)).alias("omitted"))
+    return out.orderBy(F.desc("score"), "key").limit(k)
+
+
 def merged_hits(hits: DataFrame, most: int) -> DataFrame:
     """(key, paths, judgement) of hits (key, path, judgement): the first ``most`` distinct paths and the best judgement; rows are cut before they are gathered."""
     each = hits.groupBy("key", "path").agg(F.min("judgement").alias("judgement"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.operators import index
+from heronry.operators import index, search
 from heronry.plans.base import Registry
 from heronry.plans.text_queries import BM25, QUERY_TERMS
 from heronry.session import new_folder, table
@@ -50,3 +50,19 @@ def replaced_documents(spark, sf_dir):  # K01, K03
 SELECT doc_id AS doc, count(*)::INT AS n FROM p WHERE x[i] = 'of' AND x[i + 1] = 'the' GROUP BY doc_id""")
 def phrase_hits(spark, sf_dir):  # K01
     return index.phrase(spark, built(spark, sf_dir)[0], ["of", "the"])
+
+
+#: Hits of three engines: places from ids, some without snippet; graph hits twice or more, by up to eight paths and with several judgements.
+KEYWORD = "SELECT 'keyword' AS engine, doc_id AS key, n_chars * -1 AS place, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'k' || doc_id END AS snippet, doc_id % 9 AS line, NULL AS judgement, NULL AS path FROM documents WHERE doc_id % 2 = 0"
+VECTOR = "SELECT 'vector', doc_id, doc_id * 37 % 101 * 1000 + doc_id, 'v' || doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 3 = 0"
+GRAPH = "SELECT 'graph', doc_id, (doc_id * 13 % 89 + x) * 1000 + doc_id, CASE WHEN x = 0 THEN 'g' || doc_id END, x, CASE (doc_id + x) % 4 WHEN 0 THEN 'sure' WHEN 1 THEN 'review' WHEN 2 THEN 'presumed' END, 'p' || x FROM documents, (SELECT explode(sequence(0, 7)) AS x) WHERE doc_id % 5 = 0 AND x <= doc_id % 8"
+HITS = f"{KEYWORD} UNION ALL {VECTOR} UNION ALL {GRAPH}"
+
+
+@query("fused_hits", f"""WITH h AS ({HITS.replace("explode(sequence(0, 7))", "unnest(range(8))")}), o AS (SELECT engine, key, min(place) AS place, arg_min(snippet, place) AS snip, arg_min(line, place) AS line, arg_min(snippet IS NULL, place) AS no_snip, min(CASE judgement WHEN 'sure' THEN 0 WHEN 'review' THEN 1 WHEN 'presumed' THEN 2 END) AS j, list_sort(list(DISTINCT path) FILTER (engine = 'graph')) AS p FROM h GROUP BY engine, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY place, key) AS rank, CASE engine WHEN 'keyword' THEN 0 WHEN 'vector' THEN 1 ELSE 2 END AS e, CASE WHEN no_snip THEN NULL ELSE snip END AS snippet FROM o),
+m AS (SELECT key, round(sum(CASE engine WHEN 'vector' THEN 0.5 ELSE 1.0 END::DOUBLE * CASE WHEN engine = 'graph' THEN CASE j WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 1.0 END ELSE 1.0 END::DOUBLE / (60 + rank)), 6) AS score, string_agg(engine || ':' || rank, ',' ORDER BY e) AS sources, arg_min(snippet, e) FILTER (coalesce(snippet, '') <> '') AS snippet, min(e) FILTER (coalesce(snippet, '') <> '') AS se, max(CASE WHEN engine = 'graph' THEN j END) AS j, max(p) FILTER (engine = 'graph') AS p FROM r GROUP BY key)
+SELECT m.key, score, sources, m.snippet, r.line::BIGINT AS line, CASE m.j WHEN 0 THEN 'sure' WHEN 1 THEN 'review' WHEN 2 THEN 'presumed' END AS judgement, coalesce(m.p[1:5], []) AS paths, greatest(len(coalesce(m.p, [])) - 5, 0)::INT AS omitted FROM m LEFT JOIN r ON r.key = m.key AND r.e = se ORDER BY score DESC, m.key LIMIT 60""")
+def fused_hits(spark, sf_dir):  # X07, W05, U01
+    h = spark.sql(HITS.replace("FROM documents", "FROM {d}"), d=table(spark, sf_dir, "documents"))
+    return search.fused(h, {"vector": 0.5}, 60)
