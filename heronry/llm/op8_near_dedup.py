@@ -12,13 +12,12 @@ Candidates are stars: each other member of a bucket with the one that meets most
 others over all buckets, the smallest number if equal; of many variants of a text that is
 most likely the text itself. All are confirmed on full sets. Members of one bucket that
 stay in different components after that may still be linked to each other, so a second
-pass looks for pairs of different components among all members of such buckets. Each brings its sketch, the ``SKETCH`` smallest hashes of its
-set: sets no larger than the sketch are compared exactly
-there; of larger ones at least ``LEAST`` of the smallest hashes of the union are common at
-0.85 but for a probability of 1e-8. Sketches meet by their rarest hashes (``prefixes``), of which two similar ones
-share one; pages with a template in common and texts of their own never meet, however many they are. Only members
-that are nearly similar, with less of their own than the share leaves, are still compared in pairs.
-What passes, pairs of numbers, goes through the same confirmation on full sets.
+pass looks for pairs of different components among all members of such buckets. Each brings its full set. Sets
+meet by their rarest hashes (``prefixes``), of which two similar ones share one at places that both sizes allow; what no
+other set has comes first, so that variants of one text that have more of their own than the share leaves never meet,
+however many they are and however long. Pairs that met are compared by sketches, the ``SKETCH`` smallest hashes of each
+set: sets no larger than that exactly; of larger ones at least ``LEAST`` of the smallest hashes of the union are common at
+0.85 but for a probability of 1e-8. What passes is confirmed on the full sets.
 Components come from minimum labels with pointer jumping; each step is a
 written table, deleted after use. Joins on hot keys have an exchange on both sides, so that Spark
 splits skewed ones.
@@ -124,35 +123,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, work, schema, id_col, text_col).withColumnRenamed(id_col, "id")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
-    """(node, set) for ``nodes`` (node, id, key): the text of each is a row with that id whose set has that key.
-
-    With ``most``, the sketch of that many hashes, each reduced to 32 bits.
-    """
+def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set) for ``nodes`` (node, id, key): the text of each is a row with that id whose set has that key."""
     two = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     wanted = nodes.join(sieve(two, "__id", nodes, "id"), F.col("id").eqNullSafe(F.col("__id"))).select(F.struct("node", "key").alias("name"), "text")
-    kind = T.LongType() if most is None else T.IntegerType()
-    schema = T.StructType([T.StructField("name", wanted.schema["name"].dataType), T.StructField("set", T.ArrayType(kind))])
-    shown = (lambda s: s.view(np.int64)) if most is None else lambda s: s[:most].astype(np.uint32).view(np.int32)
+    schema = T.StructType([T.StructField("name", wanted.schema["name"].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def work(names, texts):
         sets = shingle_sets(texts)
-        return {"name": names, "set": [shown(s) if _key(s) == k else None for s, k in zip(sets, names.field("key").to_pylist())]}
+        return {"name": names, "set": [s.view(np.int64) if _key(s) == k else None for s, k in zip(sets, names.field("key").to_pylist())]}
 
     found = map_texts(wanted, work, schema, "name", "text").filter("set IS NOT NULL")
     return found.select("name.node", "set").dropDuplicates(["node"])
 
 
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, set) are similar enough."""
+    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    return both.filter(100 * common >= PERCENT * union).select("a", "b")
+
+
 def confirm(s: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = s.save(classes.select("node", "id", "key").join(nodes, "node", "left_semi"), "nodes")
     sets = s.save(sets_of(docs, nodes, id_col, text_col), "sets")
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    links = s.save(both.filter(100 * common >= PERCENT * union).select("a", "b"), "links")
+    links = s.save(similar(pairs, sets), "links")
     s.drop(sets, nodes)
     return links
 
@@ -194,48 +193,45 @@ def _close(x, y):
 
 
 def prefixes(s: Scratch, each: DataFrame) -> DataFrame:
-    """(token, node, n, comp, pos, size): for each row (node, n, comp, sketch) the rarest of its hashes with their places, one of which any similar sketch has among its own rarest.
+    """(token, node, n, comp, pos): for each row (node, n, comp, set) the rarest of its hashes with their places, one of which any similar set has among its own rarest.
 
-    Two sketches with ``need`` hashes in common share one of the first size - need + 1 in any order that holds for all;
-    hashes go by how many sketches have them, so that a template's come last. Those that no other has are left out then.
+    Two sets with ``need`` hashes in common share one of the first n - need + 1 in any order that holds for all;
+    hashes go by how many sets have them, so that a template's come last. Those that no other has only count.
     """
-    tokens = s.save(each.select("node", F.explode("sketch").alias("token")), "tokens")
+    tokens = s.save(each.select("node", F.explode("set").alias("token")), "tokens")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    placed = F.struct(F.coalesce("m", F.lit(1)).alias("m"), "token")
-    order = tokens.join(often, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(placed)).alias("order"))  # SKETCH at most
-    # one less than the share asks for, since two hashes of a set may be equal in their 32 bits
-    own = F.least(F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1, F.lit(LEAST))
-    need = F.when(F.col("n") <= SKETCH, own).otherwise(LEAST)
-    at = each.select("node", "n", "comp").join(order, "node")
-    first = at.select("node", "n", "comp", F.size("order").alias("size"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0)))).alias("pos", "p"))
-    return first.filter("p.m > 1").select("p.token", "node", "n", "comp", "pos", "size")
+    order = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("order"))
+    at = each.select("node", "n", "comp").join(order, "node").withColumn("alone", F.col("n") - F.size("order"))
+    most = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - F.col("alone")
+    first = at.select("node", "n", "comp", "alone", F.posexplode(F.slice("order", F.lit(1), F.greatest(most, F.lit(0)))).alias("at", "p"))
+    return first.select("p.token", "node", "n", "comp", (F.col("alone") + F.col("at")).alias("pos"))
 
 
 def across(s: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of different components that sketches don't rule out, of the members of buckets that hold several."""
+    """Links (a, b) between different components, of the members of buckets that hold several."""
     at = s.save(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp")), "open")
     kinds = at.groupBy("bucket").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).filter("one < other").select("bucket")
     rest = s.save(at.join(kinds, "bucket").select("node", "n", "comp").distinct(), "rest")
-    sketches = sets_of(docs, classes.select("node", "id", "key").join(rest.select("node"), "node"), id_col, text_col, SKETCH).withColumnRenamed("set", "sketch")
-    each = s.save(rest.join(sketches, "node"), "sketches")
+    sets = sets_of(docs, classes.select("node", "id", "key").join(rest.select("node"), "node"), id_col, text_col)
+    each = s.save(rest.join(sets, "node"), "rest-sets")
     first = s.save(prefixes(s, each), "prefixes")
     largest = first.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("kinds"))
     open_ = s.save(first.join(largest.filter("kinds > 1").drop("kinds"), "token"), "met")
-    c = open_.filter("comp <> largest").select("token", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp", "pos", "size")])
-    #: With both sizes known the share asks for more: the first common hash has at least so many from itself on in both orders.
-    need = F.when(F.greatest("n", "c_n") <= SKETCH, F.ceil((F.col("n") + F.col("c_n")) * PERCENT / (100 + PERCENT)).cast("int") - 1).otherwise(LEAST)
-    placed = (F.col("pos") <= F.col("size") - need) & (F.col("c_pos") <= F.col("c_size") - need)
+    c = open_.filter("comp <> largest").select("token", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "comp", "pos")])
+    #: The first common hash has at least as many from itself on, in both orders, as two sets of these sizes need in common.
+    left = F.least(F.col("n") - F.col("pos"), F.col("c_n") - F.col("c_pos"))
+    placed = (100 + PERCENT) * left >= PERCENT * (F.col("n") + F.col("c_n"))
     #: Once also where both are outside the largest component.
     once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("c_node"))
-    met = open_.join(c, "token").filter((F.col("comp") != F.col("c_comp")) & once & _close(F.col("n"), F.col("c_n")) & placed)
+    met = open_.join(c, "token").filter((F.col("comp") != F.col("c_comp")) & once & placed)
     pairs = s.save(met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "candidates")
-    of = lambda k, x, n: each.select(F.col("node").alias(k), F.col("sketch").alias(x), F.col("n").alias(n))
+    of = lambda k, x, n: each.select(F.col("node").alias(k), F.slice("set", 1, SKETCH).alias(x), F.col("n").alias(n))
     both = pairs.join(of("b", "y", "m"), "b").join(of("a", "x", "n"), "a")
     common = F.size(F.array_intersect("x", "y"))
-    #: One more than is common, since two hashes of a set may be equal in their 32 bits.
-    small = 100 * (common + 1) >= PERCENT * (F.col("n") + F.col("m") - common - 1)
-    out = s.save(both.filter(F.when(F.greatest("n", "m") <= SKETCH, small).otherwise(common >= LEAST)).select("a", "b"), "across")
-    s.drop(at, rest, each, first, open_, pairs)
+    small = 100 * common >= PERCENT * (F.col("n") + F.col("m") - common)
+    alike = s.save(both.filter(F.when(F.greatest("n", "m") <= SKETCH, small).otherwise(common >= LEAST)).select("a", "b"), "alike")
+    out = s.save(similar(alike, each.select("node", "set")), "across")
+    s.drop(at, rest, each, first, open_, pairs, alike)
     return out
 
 
@@ -251,11 +247,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         tried = members.filter((F.col("node") != F.col("head")) & _close(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         links = confirm(s, docs, classes, s.save(tried, "pairs"), id_col, text_col)
         labels = components(s, links)
-        more = across(s, docs, classes, members, labels, id_col, text_col)
-        if not more.isEmpty():
-            second = confirm(s, docs, classes, more, id_col, text_col)
-            if not second.isEmpty():
-                labels = components(s, links.union(second))
+        second = across(s, docs, classes, members, labels, id_col, text_col)
+        if not second.isEmpty():
+            labels = components(s, links.union(second))
         comps = classes.join(labels, "node", "left").select("key", "id", F.coalesce("comp", "node").alias("comp"))
         named = comps.groupBy("comp").agg(F.min("id").alias("component"))
         found = s.keep(comps.join(named, "comp").select("key", "component"), "found")

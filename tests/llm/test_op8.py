@@ -120,3 +120,34 @@ def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
         got = op.near_dedup(d).filter("NOT kept").collect()
         assert [(r.doc_id, r.component_id) for r in got] == [(7, 3)]
     assert len(seen) == 2 and max(seen) <= 5
+
+
+def test_long_variants_of_one_text_make_no_pairs(spark, monkeypatch):
+    """Long texts with more edits than the share allows meet nowhere, though sketches of that size can't rule them out; links across the limit are found."""
+    seen = []
+    keep = op.Scratch.save
+
+    def save(self, df, name):
+        out = keep(self, df, name)
+        if name == "candidates":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(op.Scratch, "save", save)
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(1000)]
+
+    def edited(words, edits):
+        out = list(words)
+        for i in rng.sample(range(len(out)), edits):
+            out[i] = f"u{rng.randrange(10**9)}"
+        return out
+
+    texts = [edited(template, 20) for _ in range(80)]
+    texts[7] = edited(texts[3], 2)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in op.near_dedup(d).filter("NOT kept").collect()] == [(7, 3)]
+    assert len(seen) == 1 and seen[0] <= 5
+    rows = [(i, " ".join(edited(template, rng.randrange(24)))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in op.near_dedup(d).collect()} == brute(rows)
