@@ -28,6 +28,7 @@ columns aren't read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.chunks import Chunked
+from heronry.llm.chunks import FIRST, Chunked
 from heronry.llm.common import materialise, new_folder, sliced, small_batches
 
 MAGIC = b"HRNIDS01"
@@ -136,26 +137,36 @@ _ready: dict[str, tuple] = {}
 def encoder(path: str):
     """This process's tokenizer: texts to ids packed as 32-bit integers, and the vocabulary's size."""
     if path not in _ready:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        one = lambda chunk: np.array(t.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids_of = lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # noqa: E731  without the places in the text
+        one = lambda chunk: ids_of(chunk).tobytes()
         begins = np.zeros(t.get_vocab_size(), dtype=bool)
         begins[[i for token, i in t.get_vocab().items() if token.startswith(SPACE)]] = True
 
         line = np.frombuffer(one("\n"), dtype="<u4")
 
-        def many(chunks: list[str], first: int) -> list[bytes]:
-            """The library splits the joined chunks where they meet: before each token that begins with a space, or at line breaks."""
-            if first and len(line) > 1:
-                return list(map(one, chunks))
-            ids = np.array(t.encode(("\n" if first else "").join(chunks), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(ids == line[0] if first else begins[ids])
-            every, last = ids.tobytes(), 4 * len(ids)
-            if first:
-                return [every[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), last])]
-            cut = [*(4 * at).tolist(), last]
-            return [every[a:b] for a, b in zip(cut, cut[1:])]
+        def many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of pieces of one kind, and how many each has. The library splits the joined pieces where they meet: before each token that begins with a space, or at line breaks."""
+            start = pieces[0][0]
+            if len(line) == 1 or start not in ("\n", FIRST):
+                if start == FIRST:
+                    ids = ids_of("\n".join([p[1:] for p in pieces]))
+                    cut = ids == line[0]
+                    size = np.diff(np.flatnonzero(cut), prepend=-1, append=len(ids)) - 1
+                    ids = ids[~cut]
+                elif start == "\n":
+                    ids = ids_of("".join(pieces))
+                    size = np.diff(np.flatnonzero(ids == line[0]), append=len(ids))
+                else:
+                    ids = ids_of(" " + " ".join(pieces))
+                    size = np.diff(np.flatnonzero(begins[ids]), append=len(ids))
+                if len(size) == len(pieces):
+                    return ids, size
+            each = [ids_of(p[1:] if start == FIRST else p if start == "\n" else " " + p) for p in pieces]
+            return np.concatenate(each), np.array([len(x) for x in each])
 
         chunked = Chunked(one, many)
         special = {a.content: (i, a) for i, a in t.get_added_tokens_decoder().items()}

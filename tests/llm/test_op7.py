@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from heronry.llm import op7_token_files as op
+from heronry.llm.chunks import FIRST, Chunked
 
 LIB = Tokenizer.from_file(op.TOKENIZER)
 
@@ -67,3 +68,45 @@ def test_rows(spark):
     single = lambda rs: [r for r in rs if r[0] != 7]  # noqa: E731  equal ids may come in either order
     assert single(got) == single(want)
     assert op.token_files(d.limit(0)).collect() == []
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    """The library gets new pieces, long ones too, in few calls and none twice; results are its own, also when the store of pieces is emptied."""
+    import tokenizers
+
+    class Counted:
+        def __init__(self, t):
+            self.t, self.calls = t, []
+
+        def __getattr__(self, name):
+            f = getattr(self.t, name)
+            return f if not name.startswith("encode") else lambda text, **how: (self.calls.append(text), f(text, **how))[1]
+
+    made = []
+
+    class Library:
+        @staticmethod
+        def from_file(path):
+            made.append(Counted(LIB))
+            return made[-1]
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Library)
+    monkeypatch.setattr(op, "_ready", {})
+    texts = [f"{i}begin word{i % 7} " + "long" * 20 + f"{i} é\nline{i} \u0120x{i}" for i in range(1500)] + ["", " ", "\n", "a\n", " a ", "\nb", "日本" * 40]
+    encode, _ = op.encoder(op.TOKENIZER)
+    want = [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    first = len(made[0].calls)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+    once = len(made[0].calls)
+    assert once - first < 20
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[::-1])] == want[::-1] and len(made[0].calls) == once
+    ids = lambda p: np.array(LIB.encode(p, add_special_tokens=False).ids, "<u4")
+
+    def many(pieces):
+        got = [ids(p[1:] if p[0] == FIRST else p if p[0] == "\n" else " " + p) for p in pieces]
+        return np.concatenate(got), [len(g) for g in got]
+
+    small = Chunked(lambda p: ids(p).tobytes(), many, cap=10)
+    for k in range(0, len(texts), 50):
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.all(texts[k : k + 50])] == want[k : k + 50]
+        assert len(small.number) <= small.cap + 50 * 7
