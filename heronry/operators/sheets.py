@@ -66,30 +66,41 @@ def sections(docs: DataFrame) -> DataFrame:
     return by_document(docs, _sections, "sheet string, cell_range string, text string")
 
 
-def enclosing(chunks: DataFrame, parts: DataFrame) -> DataFrame:
-    """(chunk_id, section_id) of chunks (chunk_id, doc, sheet, box) in sections (section_id, doc, sheet, box): the smallest that holds all of the chunk.
+def _smallest(places: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, sheet, box, section_id) of distinct places (doc, sheet, box) in sections (section_id, doc, sheet, box): the smallest that holds all of the place.
 
-    Rows are halved again and again; a section stands at the one interval that just holds its rows, and a chunk asks at
-    all intervals above its own. So neither side grows with the height of a range, and no chunk meets the sections beside it.
+    Rows are halved again and again; a section stands at the one interval that just holds its rows, and a place asks at
+    all intervals above its own. So neither side grows with the height of a range, and no place meets the sections beside
+    it. Of sections of one box only the first is met.
     """
     bits = lambda d: (d.withColumn("b", F.col("box")).filter("box IS NOT NULL").withColumn("lo", F.col("b.r1") - 1).withColumn("own", _level(F.col("b.r1") - 1, F.col("b.r2") - 1)))
-    s = bits(parts).select("doc", "sheet", F.col("own").alias("level"), F.expr("shiftright(lo, own)").alias("at"), "section_id", F.col("b").alias("s"))
-    c = bits(chunks).select("chunk_id", "doc", "sheet", "b", "lo", F.explode(F.sequence("own", F.lit(LEVELS))).alias("level")).withColumn("at", F.expr("shiftright(lo, level)"))
+    first = parts.filter("box IS NOT NULL").groupBy("doc", "sheet", "box").agg(F.min("section_id").alias("section_id"))
+    s = bits(first).select("doc", "sheet", F.col("own").alias("level"), F.expr("shiftright(lo, own)").alias("at"), "section_id", F.col("b").alias("s"))
+    c = bits(places).select("doc", "sheet", "b", "lo", F.explode(F.sequence("own", F.lit(LEVELS))).alias("level")).withColumn("at", F.expr("shiftright(lo, level)"))
     inside = (F.col("s.r1") <= F.col("b.r1")) & (F.col("s.r2") >= F.col("b.r2")) & (F.col("s.c1") <= F.col("b.c1")) & (F.col("s.c2") >= F.col("b.c2"))
     area = (F.col("s.r2") - F.col("s.r1") + 1).cast("long") * (F.col("s.c2") - F.col("s.c1") + 1)
-    met = c.join(s, ["doc", "sheet", "level", "at"]).filter(inside)
-    return met.groupBy("chunk_id").agg(F.min(F.struct(area.alias("area"), "s.r1", "s.c1", "section_id"))["section_id"].alias("section_id"))
+    met = c.join(s.hint("merge"), ["doc", "sheet", "level", "at"]).filter(inside)
+    return met.groupBy("doc", "sheet", F.col("b").alias("box")).agg(F.min(F.struct(area.alias("area"), "s.r1", "s.c1", "section_id"))["section_id"].alias("section_id"))
+
+
+def enclosing(chunks: DataFrame, parts: DataFrame) -> DataFrame:
+    """(chunk_id, section_id) of chunks (chunk_id, doc, sheet, box) in sections (section_id, doc, sheet, box): the smallest that holds all of the chunk."""
+    best = _smallest(chunks.select("doc", "sheet", "box").distinct(), parts)
+    return chunks.join(best.hint("merge"), ["doc", "sheet", "box"]).select("chunk_id", "section_id")
 
 
 def excerpts(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     """(chunk_id, quote, source, hint) for chunks (chunk_id, doc, sheet, cell_range, quote): the text of the enclosing section, else the chunk's own.
 
-    source is human_md or rag; the hint names sheet and range, those of the section if there is one.
+    source is human_md or rag; the hint names sheet and range, those of the section if there is one. Sections are looked
+    up once for each place; chunks meet only the answers.
     """
-    c, p = chunks.withColumn("box", box(F.col("cell_range"))), parts.withColumn("box", box(F.col("cell_range")))
-    best = enclosing(c.select("chunk_id", "doc", "sheet", "box"), p.select("section_id", "doc", "sheet", "box"))
+    p = parts.withColumn("box", box(F.col("cell_range")))
+    places = chunks.select("doc", "sheet", "cell_range").distinct().withColumn("box", box(F.col("cell_range")))
+    best = _smallest(places.select("doc", "sheet", "box").distinct(), p.select("section_id", "doc", "sheet", "box"))
     text = p.select("section_id", F.col("text").alias("found"), F.col("cell_range").alias("at"))
-    both = chunks.join(best, "chunk_id", "left").join(text, "section_id", "left")
+    known = places.join(best.hint("merge"), ["doc", "sheet", "box"]).join(text, "section_id").select("doc", "sheet", "cell_range", "found", "at")
+    both = chunks.join(known.hint("merge"), ["doc", "sheet", "cell_range"], "left")
     hint = F.concat(F.lit("シート「"), "sheet", F.lit("」"), F.coalesce("at", "cell_range", F.lit("")))
     return both.select("chunk_id", F.coalesce("found", "quote").alias("quote"), F.when(F.col("found").isNotNull(), "human_md").otherwise("rag").alias("source"), hint.alias("hint"))
 

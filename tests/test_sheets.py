@@ -45,6 +45,27 @@ def test_excerpts_without_place(spark):
     assert sorted(map(tuple, sheets.excerpts(c, p).collect())) == [(1, "q1", "rag", None), (2, "text", "human_md", "シート「x」A1:B2"), (3, "q3", "rag", "シート「x」nonsense")]
 
 
+def made_by_joins(df):
+    """Most rows that a join of the plan made."""
+
+    def walk(node):
+        inner = [getattr(node, x)() for kind, x in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if kind in node.getClass().getSimpleName()]
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows") if "Join" in node.nodeName() else None
+        return max([rows.get().value() if rows is not None and rows.isDefined() else 0, *map(walk, inner + below)])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_many_chunks_of_one_place_meet_its_sections_once(spark):
+    c = spark.range(2000).selectExpr("id AS chunk_id", "id % 2 AS doc", "'s' AS sheet", "'B2:C3' AS cell_range", "'q' AS quote")
+    p = spark.range(1000).selectExpr("1000 - id AS section_id", "id % 2 AS doc", "'s' AS sheet", "if(id % 4 < 2, 'A1:D4', 'A1:E5') AS cell_range", "concat('t', 1000 - id) AS text")
+    out = sheets.excerpts(c, p)
+    assert made_by_joins(out) == 2000  # all pairs: a million
+    assert {(r.chunk_id % 2, r.quote, r.hint) for r in out.collect()} == {(0, "t4", "シート「s」A1:D4"), (1, "t3", "シート「s」A1:D4")}
+
+
 def grid(spark, rows):
     return spark.createDataFrame([("d", "s", r, c, v, *(span or (1, 1))) for r, c, v, *span in rows], "doc string, sheet string, row int, col int, value string, row_span int, col_span int")
 
