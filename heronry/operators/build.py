@@ -177,8 +177,9 @@ def answer(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 10, ceili
 
 
 def quality(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """(recall, precision) of pairs (start, id); 1 where there is nothing to find, or nothing found."""
-    both = found.distinct().withColumn("f", F.lit(1)).join(gold.distinct().withColumn("g", F.lit(1)), ["start", "id"], "full")
-    hit = F.count(F.when(F.col("f").isNotNull() & F.col("g").isNotNull(), 1))
-    share = lambda c: F.when(F.count(c) == 0, 1.0).otherwise(F.round(hit / F.count(c), 6))
-    return both.agg(share("g").alias("recall"), share("f").alias("precision"))
+    """(recall, precision) of what starts reach, both as ``graph.marked`` with the same numbers; 1 where there is nothing to find, or nothing found."""
+    both = found.withColumnRenamed("bits", "f").join(gold.withColumnRenamed("bits", "g"), ["id", "block"], "full")
+    f, g = (F.coalesce(c, F.lit(0).cast("long")) for c in ("f", "g"))
+    n = lambda bits: F.coalesce(F.sum(F.bit_count(bits)), F.lit(0))
+    share = lambda c: F.when(n(c) == 0, 1.0).otherwise(F.round(n(f.bitwiseAND(g)) / n(c), 6))
+    return both.agg(share(g).alias("recall"), share(f).alias("precision"))

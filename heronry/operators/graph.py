@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from heronry.functions.scalars import ancestors, parts
 from heronry.session import Scratch
 
+#: Starts in a block.
+BITS = 63
+
 
 def nearest(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """Resolve refs (ref_id, path, kind, name) to defs (def_id, path, kind, name).
@@ -93,23 +96,78 @@ def traced(edges: DataFrame, starts: DataFrame, depth: int = 10, ceiling: int =
     return seen, ended
 
 
+def numbered(starts: DataFrame) -> DataFrame:
+    """(start, block, mask) of distinct starts (id): each has a bit of its own in one of the blocks of ``BITS``; a written table."""
+    with Scratch(starts.sparkSession, "numbered") as s:
+        each = s.save(starts.select(F.col("id").alias("start")).filter("start IS NOT NULL").distinct(), "starts")
+        blocks = max(1, each.count() // 32)
+        dealt = each.withColumn("deal", F.pmod(F.xxhash64("start"), F.lit(blocks)))
+        nth = F.row_number().over(Window.partitionBy("deal").orderBy("start")) - 1
+        dealt = dealt.withColumn("nth", nth)
+        block, mask = F.col("deal") + blocks * F.floor(F.col("nth") / BITS), F.expr(f"shiftleft(1L, nth % {BITS})")
+        return s.keep(dealt.select("start", block.cast("long").alias("block"), mask.alias("mask")), "numbers")
+
+
+def marked(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Pairs (start, id) as (id, block, bits), the starts of an id in one row a block."""
+    return pairs.join(numbers, "start").groupBy("id", "block").agg(F.bit_or("mask").alias("bits"))
+
+
+def reached(edges: DataFrame, numbers: DataFrame, small: int = 100_000) -> DataFrame:
+    """(id, block, bits): all that can be reached along edges (src, dst) from the starts of ``numbered``, as ``marked``.
+
+    While that takes a good part of them, edges to what leads nowhere are taken off in layers; the starts of a node are complete once the
+    layers behind its own are done, so each of these edges is followed once. What is left, with all circles, is
+    followed step by step, and only bits that are new go further.
+    """
+    with Scratch(edges.sparkSession, "reached") as s:
+        every = s.save(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+        rest = every.filter("src <> dst")
+        n, layers = rest.count(), []
+        while n > small:
+            leads = rest.select(F.col("src").alias("dst")).distinct().withColumn("leads", F.lit(True))
+            parted = s.save(rest.join(leads.hint("merge"), "dst", "left").select("src", "dst", F.coalesce("leads", F.lit(False)).alias("leads")), "layer")
+            left = parted.filter("leads").count()
+            if n - left < n / 16:
+                break
+            layers.append(parted.filter("NOT leads").select("src", "dst"))
+            rest, n = parted.filter("leads").select("src", "dst"), left
+        own = numbers.select(F.col("start").alias("id"), "block", F.col("mask").alias("bits"))
+        ored = lambda rows: rows.groupBy("id", "block").agg(F.bit_or("bits").alias("bits"))
+        follow = lambda at, e: ored(at.join(e.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), "block", "bits"))
+        seen = s.save(follow(own, rest).withColumn("new", F.col("bits")), "bits")
+        none = F.lit(0).cast("long")
+        while not (front := seen.filter("new <> 0").select("id", "block", F.col("new").alias("bits"))).isEmpty():
+            met = seen.drop("new").join(follow(front, rest).withColumnRenamed("bits", "more"), ["id", "block"], "full")
+            had, more = F.coalesce("bits", none), F.coalesce("more", none)
+            old, seen = seen, s.save(met.select("id", "block", had.bitwiseOR(more).alias("bits"), more.bitwiseAND(F.bitwise_not(had)).alias("new")), "bits")
+            s.drop(old)
+        # bits of each node stand in one of these: its way to itself beside them
+        loops = every.filter("src = dst").select(F.col("src").alias("id")).join(own, "id")
+        parts = [s.keep(seen.drop("new"), "bits"), s.keep(loops, "loops")]
+        for layer in reversed(layers):
+            parts.append(s.keep(follow(reduce(DataFrame.unionByName, [own, *parts]), layer), "bits"))
+    return ored(reduce(DataFrame.unionByName, parts))
+
+
 def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, id): all that can be reached along edges (src, dst) from each of ``starts`` (id), all sources if None; a start in a cycle reaches itself.
 
     Only what is new goes further in each step. Without ``starts`` pairs are found for inner nodes once and shared by all
     sources that lead to them.
     """
+    if starts is not None:
+        numbers = numbered(starts)
+        return reached(edges, numbers).join(numbers, "block").filter("bits & mask <> 0").select("start", "id")
     with Scratch(edges.sparkSession, "reach") as s:
         e = s.save(edges.select("src", "dst").distinct(), "edges")
-        at = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi") if starts is None else e.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+        at = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         step = e.select(F.col("src").alias("id"), F.col("dst").alias("next"))
         seen = new = s.keep(at.select(F.col("src").alias("start"), F.col("dst").alias("id")), "pairs")
         while not new.isEmpty():
             more = new.join(step, "id").select("start", F.col("next").alias("id")).distinct()
             new = s.keep(more.join(seen, ["start", "id"], "left_anti"), "pairs")
             seen = seen.unionByName(new)
-        if starts is not None:
-            return seen
         first = s.keep(e, "first")
     further = first.join(seen.withColumnRenamed("id", "far"), F.col("dst") == F.col("start")).select(F.col("src").alias("start"), F.col("far").alias("id"))
     return first.select(F.col("src").alias("start"), F.col("dst").alias("id")).unionByName(further).distinct()

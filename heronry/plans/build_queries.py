@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heronry.operators import build, graph
 from heronry.plans.base import Registry
-from heronry.session import table
+from heronry.session import Scratch, table
 
 query = Registry()
 #: Program k calls program k / 2 and copies book k % 30; books from 25 are in another top folder only; every fifth has a job.
@@ -61,14 +61,19 @@ def closure_quality(spark, sf_dir):  # G15
     nodes, edges, _ = build.build(corpus(spark, sf_dir))
     books = nodes.filter("kind = 'copybook'").select(F.col("cid").alias("id"))
     k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    up = k.select("k", F.explode(F.sequence(F.lit(0), F.length(F.bin("k")))).alias("i")).filter("i = 0 OR shiftright(k, i - 1) > 0").select("k", F.expr("shiftright(k, i) % 30").alias("c")).distinct().filter("c < 25")
+    ancestors = "array_distinct(filter(transform(filter(sequence(0, length(bin(k))), i -> i = 0 OR shiftright(k, i - 1) > 0), i -> shiftright(k, i) % 30), c -> c < 25))"
+    up = k.select("k", F.explode(F.expr(ancestors)).alias("c"))
     book, path = F.expr("'copybook|w/cpy/C' || c || '.cpy|C' || c").alias("start"), {"program": "'program|w/cbl/d' || (k % 7) || '/P' || k || '.cbl|P' || k", "job": "'job|w/jcl/J' || k || '.jcl|J' || k"}
     gold = up.select(book, F.expr(path["program"]).alias("id")).unionByName(up.filter("k % 5 = 0").select(book, F.expr(path["job"]).alias("id")))
     out = None
-    for dropped in ("", "INVOKES"):
-        back = edges.filter(F.col("type") != dropped).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        one = build.quality(graph.reach(back, books), gold).select(F.lit(dropped).alias("dropped"), "recall", "precision")
-        out = one if out is None else out.unionByName(one)
+    with Scratch(spark, "closure") as s:
+        edges = s.save(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"), "edges")
+        numbers = graph.numbered(books.unionByName(gold.select(F.col("start").alias("id"))))
+        truth = s.save(graph.marked(gold, numbers), "gold")
+        for dropped in ("", "INVOKES"):
+            back, asked = edges.filter(F.col("type") != dropped), numbers.join(books, F.col("start") == F.col("id"), "left_semi")
+            one = s.keep(build.quality(graph.reached(back, asked), truth), "quality").select(F.lit(dropped).alias("dropped"), "recall", "precision")
+            out = one if out is None else out.unionByName(one)
     return out
 
 

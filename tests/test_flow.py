@@ -1,5 +1,7 @@
 """Files to a graph with flows of data: programs, jobs, books, and other languages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,28 @@ def test_reach(spark, edges, want):
     assert set(map(tuple, graph.reach(e, some).collect())) == {p for p in want if p[0] == 1}
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_starts_of_a_node_share_a_row(spark, small):
+    rng = random.Random(small)
+    pairs = [(k // 2, k) for k in range(300)] + [(rng.randint(0, 299), rng.randint(0, 299)) for _ in range(20)] + [(7, 7), (400, 401), (401, 400)]
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+    want = set()
+    for first in [*range(0, 300, 3), 401]:
+        front = {first}
+        while front := {b for a in front for b in below.get(a, ())} - {b for a, b in want if a == first}:
+            want |= {(first, b) for b in front}
+    e, starts = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(a,) for a in [*range(0, 300, 3), 401, 900]], "id long")
+    numbers = graph.numbered(starts)
+    rows = graph.reached(e, numbers, small)
+    assert sorted(map(tuple, graph.marked(spark.createDataFrame(sorted(want), "start long, id long"), numbers).collect())) == sorted(map(tuple, rows.collect()))
+    assert rows.count() < len(want) and set(map(tuple, graph.reach(e, starts).collect())) == want
+    got = build.quality(rows, graph.marked(spark.createDataFrame(sorted(want)[::2], "start long, id long"), numbers)).first()
+    assert (got.recall, got.precision) == (1.0, round(len(sorted(want)[::2]) / len(want), 6))
+    assert tuple(build.quality(rows.limit(0), rows.limit(0)).first()) == (1.0, 1.0)
+
+
 def test_facts_are_parsed_once(spark):
     d = spark.createDataFrame([(1, "g/A.cbl", READ), (2, None, READ), (3, "g/x", None)], "doc_id long, path string, text string")
     edges = build.build(d)[1]
