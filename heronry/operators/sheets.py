@@ -106,12 +106,15 @@ def excerpts(chunks: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _islands(cells: DataFrame, by: list[str], at: str, span: str, name: str) -> DataFrame:
-    """``cells`` with ``name``, the first of the row or column numbers that follow each other without a gap around the cell."""
-    taken = cells.select(*by, F.explode(F.sequence(F.col(at), F.col(at) + F.col(span) - 1)).alias(at)).distinct()
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(at))
-    runs = taken.withColumn("run", F.col(at) - n)
-    first = runs.withColumn(name, F.min(at).over(Window.partitionBy(*by, "run"))).drop("run")
-    return cells.join(first, [*by, at])
+    """``cells`` with ``name``, the first of the row or column numbers that follow each other without a gap around the cell.
+
+    One window in order, so no second table of what is taken is made; cells without a place go.
+    """
+    w = Window.partitionBy(*by).orderBy(at)
+    upto = F.max(F.col(at) + F.col(span) - 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.when(upto.isNull() | (F.col(at) > upto + 1), F.col(at))
+    rows = cells.dropna(subset=[*by, at]).withColumn("first", first)
+    return rows.withColumn(name, F.last("first", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("first")
 
 
 def regions(cells: DataFrame) -> DataFrame:

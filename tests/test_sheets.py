@@ -94,6 +94,16 @@ def test_regions_are_parted_by_empty_rows_and_columns(spark):
     assert got == want
 
 
+def test_tables_are_not_broadcast(spark):
+    """Estimates miss rows made of arrays: a small file can be many cells."""
+    made = F.explode(F.sequence(F.lit(1), F.lit(50))).alias("row")
+    cells = spark.range(20).select((F.col("id") % 2).alias("doc"), F.lit("s").alias("sheet"), F.col("id"), made).selectExpr("doc", "sheet", "int(id * 60 + row) AS row", "1 AS col", "string(row) AS value", "1 AS row_span", "1 AS col_span")
+    found = sheets.regions(cells)
+    for df in (found, sheets.headers(found)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert found.select("doc", "top").distinct().count() == 20
+
+
 def test_headers_of_odd_tables(spark):
     merged = grid(spark, [(1, 1, "Head", 1, 3), (2, 1, "a"), (2, 3, "c")])  # one merged cell holds the region together
     assert {(r.top, r.left) for r in sheets.regions(merged).collect()} == {(1, 1)}
