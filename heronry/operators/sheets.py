@@ -167,7 +167,7 @@ def headers(cells: DataFrame) -> DataFrame:
 def labels(cells: DataFrame, found: DataFrame) -> DataFrame:
     """(region, col, label): a column's header, below wider ones between it and the title."""
     heads = found.filter("header_row IS NOT NULL").select(*REGION, "title_row", "header_row")
-    c = cells.join(heads, REGION).filter(F.col("row") <= F.col("header_row"))
+    c = cells.join(heads.hint("merge"), REGION).filter(F.col("row") <= F.col("header_row"))
     direct = (F.col("row") + F.col("row_span") > F.col("header_row")) & (F.col("row") > F.coalesce("title_row", F.lit(0)))
     wide = (F.col("row") > F.col("title_row")) & (F.col("row") < F.col("header_row")) & (F.col("col_span") > 1)
     each = c.filter(direct | wide).select(*REGION, "row", "value", F.col("col").alias("owner"), F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("col"))
@@ -179,7 +179,7 @@ def labels(cells: DataFrame, found: DataFrame) -> DataFrame:
 def records(cells: DataFrame, found: DataFrame) -> DataFrame:
     """(region, row, keys): rows below a header with at most two keys (label, value), the best by the words of their header and the look of their value."""
     heads = found.filter("header_row IS NOT NULL").select(*REGION, "header_row")
-    c = cells.join(heads, REGION).filter(F.col("row") > F.col("header_row")).join(labels(cells, found), [*REGION, "col"], "left")
+    c = cells.join(heads.hint("merge"), REGION).filter(F.col("row") > F.col("header_row")).join(labels(cells, found).hint("merge"), [*REGION, "col"], "left")
     label = F.coalesce("label", F.lit(""))
     words = F.greatest(*[F.when(F.contains(F.lower(label), F.lit(w)), 100 - 10 * k).otherwise(0) for k, w in enumerate(KEY_WORDS)])
     score = words + F.when(F.col("value").rlike(ID), 60).otherwise(0)
@@ -189,4 +189,4 @@ def records(cells: DataFrame, found: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*REGION, "row").orderBy(F.desc("k")))
     two = best.withColumn("nth", nth).filter("nth <= 2").groupBy(*REGION, "row").agg(F.array_sort(F.collect_list(F.struct("nth", "k.label", "value"))).alias("keys"))
     keys = F.transform("keys", lambda k: F.concat(k["label"], F.lit("="), k["value"]))
-    return c.select(*REGION, "row").distinct().join(two, [*REGION, "row"], "left").select(*REGION, "row", F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))
+    return c.select(*REGION, "row").distinct().join(two.hint("merge"), [*REGION, "row"], "left").select(*REGION, "row", F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))

@@ -99,7 +99,7 @@ def test_tables_are_not_broadcast(spark):
     made = F.explode(F.sequence(F.lit(1), F.lit(50))).alias("row")
     cells = spark.range(20).select((F.col("id") % 2).alias("doc"), F.lit("s").alias("sheet"), F.col("id"), made).selectExpr("doc", "sheet", "int(id * 60 + row) AS row", "1 AS col", "string(row) AS value", "1 AS row_span", "1 AS col_span")
     found = sheets.regions(cells)
-    for df in (found, sheets.headers(found)):
+    for df in (found, sheets.headers(found), sheets.records(found, sheets.headers(found))):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert found.select("doc", "top").distinct().count() == 20
 
