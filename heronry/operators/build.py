@@ -146,7 +146,7 @@ def impact_of(nodes: DataFrame, edges: DataFrame, flags: DataFrame, term: str, d
 LIMITS = ("timeout", "row_cap", "depth", "result_cap", "doc_search_truncated", "card_cap", "graph_unavailable", "graph_reingest_required", "plugin_failed", "source_unparsed", "narrow_required")
 
 
-def answer(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 10, ceiling: int = 10_000, most_starts: int = 50, most: int | None = None, unparsed: int = 0, same_era: bool = True) -> tuple[DataFrame, DataFrame]:
+def answer(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 10, ceiling: int | None = None, most_starts: int = 50, most: int | None = None, unparsed: int = 0, same_era: bool = True) -> tuple[DataFrame, DataFrame]:
     """What a change of ``term`` reaches, (cid, kind, name, path, level, trace, types) with the way to each node, and the limits of the answer (kind, stage, count).
 
     Too many starts ask for a narrower term and nothing is walked; a graph of another era or without nodes says so; files that

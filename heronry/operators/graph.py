@@ -64,10 +64,10 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool =
         return seen, False
 
 
-def traced(edges: DataFrame, starts: DataFrame, depth: int = 10, ceiling: int = 10_000) -> tuple[DataFrame, dict]:
+def traced(edges: DataFrame, starts: DataFrame, depth: int = 10, ceiling: int | None = None) -> tuple[DataFrame, dict]:
     """As ``impact`` against edges (src, dst, type): (id, level, path, types), the path from its start and the types of its edges; and what ended it.
 
-    No more than ``ceiling`` rows are found beside the starts: a level that passes it is cut, the smallest ids stay, and
+    Without a ``ceiling`` nothing is cut. With one no more rows are found beside the starts: a level that passes it is cut, the smallest ids stay, and
     row_cap says so; depth says that more lies beyond the last level. Of several ways the smallest parent's is taken.
     """
     none = F.array().cast("array<string>")
@@ -85,13 +85,14 @@ def traced(edges: DataFrame, starts: DataFrame, depth: int = 10, ceiling: int =
                 break
             new = s.save(new.select("id", F.lit(level).alias("level"), F.concat("w.path", F.array("id")).alias("path"), F.concat("w.types", F.array("w.type")).alias("types")), "new")
             n = new.count()
-            if n > left:
+            if left is not None and n > left:
                 ended["row_cap"] = ceiling
                 seen = seen.unionByName(s.keep(new.orderBy("id").limit(left), "level"))
                 break
             if not n:
                 break
-            front, left = s.keep(new, "level"), left - n
+            front, left = s.keep(new, "level"), None if left is None else left - n
+            s.drop(new)
             seen = seen.unionByName(front)
     return seen, ended
 

@@ -83,9 +83,11 @@ def impact_limits(spark, sf_dir):  # G13, G14
     nodes, edges, _ = build.build(corpus(spark, sf_dir))
     questions = {"deep": {"depth": 1}, "rows": {"depth": 1, "ceiling": 5}, "starts": {"most_starts": 0}, "results": {"depth": 1, "most": 3}, "files": {"depth": 40, "unparsed": 4, "ceiling": 10**9}, "old": {"same_era": False}}
     out = None
-    for name, how in questions.items():
-        limits = build.answer(nodes, edges, "C7", **how)[1].withColumn("question", F.lit(name))
-        out = limits if out is None else out.unionByName(limits)
+    with Scratch(spark, "limits") as s:
+        nodes, edges = s.save(nodes, "nodes"), s.save(edges.select("src", "type", "dst"), "edges")
+        for name, how in questions.items():
+            limits = build.answer(nodes, edges, "C7", **how)[1].withColumn("question", F.lit(name))
+            out = limits if out is None else out.unionByName(limits)
     return out
 
 

@@ -165,6 +165,15 @@ def test_starts_of_a_node_share_a_row(spark, small):
     assert tuple(build.quality(rows.limit(0), rows.limit(0)).first()) == (1.0, 1.0)
 
 
+def test_an_answer_is_cut_only_if_asked(spark):
+    nodes = spark.range(10_003).selectExpr("'n' || id AS cid", "'program' AS kind", "'N' || id AS name", "'a/n' || id AS path", "'a' AS top")
+    edges = spark.range(1, 10_003).selectExpr("'n' || id AS src", "'CALLS' AS type", "if(id = 10002, 'n1', 'n0') AS dst")
+    whole, limits = build.answer(nodes, edges, "N0", 1)
+    assert whole.count() == 10_002 and list(map(tuple, limits.collect())) == [("depth", "impact", None)]
+    cut, limits = build.answer(nodes, edges, "N0", 5, ceiling=10_000)
+    assert cut.count() == 10_001 and list(map(tuple, limits.collect())) == [("row_cap", "impact", 10_000)]
+
+
 def test_facts_are_parsed_once(spark):
     d = spark.createDataFrame([(1, "g/A.cbl", READ), (2, None, READ), (3, "g/x", None)], "doc_id long, path string, text string")
     edges = build.build(d)[1]
