@@ -61,10 +61,19 @@ def bucket_of(term: str, buckets: int) -> int:
 
 
 def postings(docs: DataFrame, key: str, fields: list[str], term: str = TERM) -> DataFrame:
-    """(doc, field, dl, term, tf, positions) of lower-case terms."""
+    """(doc, field, dl, term, tf, positions) of lower-case terms.
+
+    A document's terms are sorted and cut into runs within its row, so that nothing is exchanged for it.
+    """
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(term), 1).alias("t")) for f in fields])
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.inline(each)).select("doc", "field", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    return rows.groupBy("doc", "field", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))  # of one document
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.inline(each)).filter(F.size("t") > 0)
+    # arrays are bound by lambdas, so that each is made once
+    run = lambda x, at, to: F.struct(x[at]["term"].alias("term"), (to - at).alias("tf"), F.transform(F.slice(x, at + 1, to - at), lambda y: y["pos"]).alias("positions"))
+    first = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (x[i]["term"] != x[F.greatest(i - 1, F.lit(0))]["term"]))
+    cut = lambda x: F.transform(F.array(first(x)), lambda at: F.transform(at, lambda i, k: run(x, i, F.coalesce(F.get(at, k + 1), F.size(x)))))
+    ordered = F.array_sort(F.transform("t", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+    runs = F.flatten(F.flatten(F.transform(F.array(ordered), cut)))
+    return rows.select("doc", "field", F.size("t").alias("dl"), F.inline(runs))
 
 
 def _sums(lengths: DataFrame) -> dict:

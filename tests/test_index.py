@@ -34,6 +34,15 @@ def test_equals_the_scan_and_reads_only_buckets(spark, root):
     assert files and all(any(f"bucket={b}/" in f[0] for b in held) for f in files)
 
 
+def test_postings_are_made_within_rows(spark):
+    rows = [(1, "b a b. A_1 b"), (2, ""), (3, None), (4, "z " * 3000 + "y"), (None, "a")]
+    got = index.postings(spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit("a")), "doc_id", ["text", "labels"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    text = {(r.doc, r.term): (r.dl, r.tf, list(r.positions)) for r in got.filter("field = 'text'").collect()}
+    assert text == {(1, "b"): (5, 3, [0, 2, 4]), (1, "a"): (5, 1, [1]), (1, "a_1"): (5, 1, [3]), (4, "z"): (3001, 3000, list(range(3000))), (4, "y"): (3001, 1, [3000])}
+    assert sorted((r.doc, r.term, r.tf) for r in got.filter("field = 'labels'").collect()) == [(k, "a", 1) for k in (1, 2, 3, 4)]
+
+
 def test_changes_and_removals(spark, root):
     def change(rows, removed=()):
         gone = spark.createDataFrame([(i,) for i in removed], "doc_id long") if removed else None
