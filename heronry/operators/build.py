@@ -51,11 +51,12 @@ def resolve(files: DataFrame) -> Resolved:
         found = s.keep(programs.facts(files), "facts")
         defs = s.keep(definitions(found), "defs")
         refs = found.filter("role = 'ref'").select("doc_id", "path", "line", "kind", "name", F.col("a").alias("type"), F.when(F.col("kind") == "function", F.col("b")).alias("inside"), F.col("n").alias("step")).distinct()
-        refs = s.keep(refs.withColumn("ref_id", F.concat_ws("|", "path", F.col("line").cast("string"), "kind", "type", "name")), "refs")
+        refs = s.save(refs.withColumn("ref_id", F.concat_ws("|", "path", F.col("line").cast("string"), "kind", "type", "name")), "refs")
         ask = refs.select("ref_id", "path", "kind", "name").distinct()
+        # written one by one: files of exchanges of one step go before the next
         of = defs.select(F.col("cid").alias("def_id"), "path", "kind", "name", "definition")
-        plain = graph.nearest(ask.filter("kind <> 'function'"), of.filter("kind <> 'function'").drop("definition"))
-        called = graph.nearest_keyed(ask.filter("kind = 'function'"), of.filter("kind = 'function'"))
+        plain = s.save(graph.nearest(ask.filter("kind <> 'function'"), of.filter("kind <> 'function'").drop("definition")), "plain")
+        called = s.save(graph.nearest_keyed(ask.filter("kind = 'function'"), of.filter("kind = 'function'")), "called")
         ranks = F.when(F.col("kind").isin(*OWNERS), 0).when(F.col("kind") == "bean", 1).when(F.col("kind") == "file", 2)
         owner = defs.filter(ranks.isNotNull()).groupBy("path").agg(F.min_by("cid", F.struct(ranks.alias("rank"), "line", "cid")).alias("first"))
         at = refs.join(plain.unionByName(called), "ref_id").join(owner, "path", "left")
